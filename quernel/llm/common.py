@@ -58,5 +58,19 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def slices(batch, column: str, most: int = 4 << 20):
+    """Cut an Arrow batch into row ranges of about ``most`` bytes of ``column`` (one row at least), so a worker's arrays stay small."""
+    import numpy as np
+
+    values = batch.column(column)
+    kind = np.int64 if str(values.type).startswith("large") else np.int32
+    ends = np.frombuffer(values.buffers()[1], dtype=kind)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

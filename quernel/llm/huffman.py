@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise
+from .common import materialise, slices
 
 BLOCK, EVERY, MAX_LEN = 4096, 256, 20
 SCHEMA = "doc_id long, block_no int, n_tokens int, n_bits long, payload binary, checkpoints array<int>"
@@ -143,12 +143,12 @@ def global_counts(ids: DataFrame, column: str, size: int, width: int) -> np.ndar
 
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            for part in b.column(0):
-                if part.is_valid and len(raw := part.as_buffer()):
-                    total += np.bincount(np.frombuffer(raw, dtype=f"<u{width}"), minlength=size)[:size] if len(raw) > size else 0
-                    if len(raw) <= size:
-                        np.add.at(total, np.frombuffer(raw, dtype=f"<u{width}"), 1)
+        for b in (part for whole in batches for part in slices(whole, column)):
+            values = b.column(column)
+            ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+            data = values.buffers()[2]
+            if data is not None and ends[-1] > ends[0]:
+                total += np.bincount(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(f"<u{width}"), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, vocab: str = tokens.VOCAB, max_len: int = MAX_LEN, b
     def run(batches):
         book = shared.value
         codes = canonical(book)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "ids", 1 << 20)):
             column = b.column("ids")
             if isinstance(column, pa.ChunkedArray):
                 column = column.combine_chunks()

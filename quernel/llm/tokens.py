@@ -16,11 +16,13 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Folder of the public vocabulary files; a parameter of every operator that tokenises.
 VOCAB = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept by a worker; when they are as many the dictionary starts anew.
-PIECES = 400_000
+PIECES = 250_000
 _inner_space = re.compile(r"\s \s").search
 _workers: dict[str, "Encoder"] = {}
 
@@ -88,7 +90,7 @@ def with_ids(docs: DataFrame, text: str = "text", vocab: str = VOCAB, ids: str =
 
     def run(batches):
         enc = encoder(vocab)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, text)):
             packed = [None if t is None else enc.pack(t) for t in b.column(text).to_pylist()]
             n = [0 if p is None else len(p) // enc.width for p in packed]
             yield pa.RecordBatch.from_arrays(
