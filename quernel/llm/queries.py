@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman
+from . import huffman, packing
 from .common import table
 
 
@@ -10,6 +10,11 @@ def op2_huffman_token_ids(spark, sf_dir):
     return huffman.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_huffman_token_ids": op2_huffman_token_ids}
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+
+QUERIES = {"op2_huffman_token_ids": op2_huffman_token_ids, "op8_packing": op8_packing}
 
 ORACLES: dict[str, str] = {}
