@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from . import huffman, packing
+from . import huffman, mixing, packing, sharding
 from .common import table
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op2_huffman_token_ids(spark, sf_dir):
     return huffman.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_temperature_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op8_packing, op9_temperature_mixing)}
 
-QUERIES = {"op2_huffman_token_ids": op2_huffman_token_ids, "op8_packing": op8_packing}
-
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL}
