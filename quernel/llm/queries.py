@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, mixing, packing, sharding
+from . import huffman, mixing, packing, sharding, urlfilter
 from .common import table
 
 
@@ -18,10 +18,15 @@ def op9_temperature_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark, sf_dir):
+    rules = spark.createDataFrame(urlfilter.RULES, "expr string, action string, priority int")
+    return urlfilter.decide(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op8_packing, op9_temperature_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op7_url_filters, op8_packing, op9_temperature_mixing)}
 
-ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL}
