@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, mixing, packing, sharding, urlfilter
+from . import huffman, media, mixing, packing, sharding, urlfilter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op7_url_filters, op8_packing, op9_temperature_mixing)}
+def op10_media_columns(spark, sf_dir):
+    return media.media_columns(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
 
 ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL}
