@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, media, mixing, packing, sharding, urlfilter
+from . import huffman, media, mixing, packing, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op9_temperature_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(urlfilter.RULES, "expr string, action string, priority int")
     return urlfilter.decide(table(spark, sf_dir, "pages"), rules)
@@ -31,6 +35,6 @@ def op10_media_columns(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op6_toxicity, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
 
 ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL}
