@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, media, mixing, packing, sharding, toxicity, urlfilter
+from . import huffman, media, mixing, packing, sharding, substring, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op9_temperature_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring.dedup(table(spark, sf_dir, "documents"), counts=True)
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,6 @@ def op10_media_columns(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op6_toxicity, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
 
-ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL}
+ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op5_substring_dedup": substring.SQL, "op7_url_filters": urlfilter.SQL}
