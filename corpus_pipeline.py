@@ -1,10 +1,61 @@
-"""Corpus preparation in stages; each stage's output is written as Parquet and reread."""
+"""Corpus preparation in five stages; each stage's output is written as Parquet and reread as the next one's documents.
+
+toxic documents go; of each group of similar documents one stays; passages that
+repeat are cut from all but their first document; sources are mixed to target
+weights (each shown whole at least once); the result is packed into windows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from quernel.llm import jaccard, mixing, packing, substring, toxicity
+from quernel.llm.common import materialise, table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the factorization machine, fitted on the labels, doesn't call toxic."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_similar(spark, docs, sf_dir):
+    """One document of each group whose word n-gram sets are similar."""
+    return jaccard.dedup(docs)
+
+
+def cut_repeats(spark, docs, sf_dir):
+    """Texts without passages that an earlier document has; n_chars follows. Texts that had words and have none left go."""
+    out = substring.dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.where("text is null or text rlike '[^ \\\\t\\\\n\\\\f\\\\r]'")
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Every document, as often as its source's weight asks."""
+    return mixing.realise(docs)
+
+
+def pack_windows(spark, docs, sf_dir):
+    """Windows of token ids with the documents in them."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_similar),
+    ("substring_dedup", cut_repeats),
+    ("temperature_mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: A model is fitted and a tokenizer run, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, jaccard, media, mixing, packing, sharding, substring, toxicity, urlfilter
+from . import embeddings, huffman, jaccard, media, mixing, packing, sharding, substring, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op9_temperature_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.pairs(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_media_columns(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op4_ngram_jaccard_join, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_huffman_token_ids, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_packing, op9_temperature_mixing, op10_media_columns)}
 
-ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op4_ngram_jaccard_join": jaccard.SQL, "op5_substring_dedup": substring.SQL, "op7_url_filters": urlfilter.SQL}
+ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.SQL, "op3_embedding_near_dedup": embeddings.SQL, "op4_ngram_jaccard_join": jaccard.SQL, "op5_substring_dedup": substring.SQL, "op7_url_filters": urlfilter.SQL}
