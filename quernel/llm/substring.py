@@ -59,7 +59,7 @@ def _spans(docs: DataFrame, span: int, longest: int, min_words: int) -> DataFram
     """h, doc_id, x (digest of the text), pos, first (whether it may be the first occurrence of all)."""
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
+        for b in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
             _, hashes, sizes, counts, _ = sentences(b.column("text"), longest)
             n = len(hashes)
             if n < span:
@@ -115,7 +115,7 @@ def dedup(docs: DataFrame, span: int = SPAN, longest: int = LONGEST, min_words:
     names = list(mine.columns)
 
     def remove(batches):
-        for b in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
+        for b in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
             column = b.column("text")
             cuts = b.column("__cut")
             starts, _, _, before, ends = sentences(column, longest)
