@@ -137,7 +137,8 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
             gb += g.sum() ** 2
             b -= rate * g.sum() / np.sqrt(gb)
     model = Model(known, w, v, b, 0.0)
-    z = model.score(np.concatenate([rows[i] for i in held]), np.concatenate([[0], np.cumsum([len(rows[i]) for i in held])]))
+    none = [np.zeros(0, dtype=np.uint64)]  # held may be empty
+    z = model.score(np.concatenate([*(rows[i] for i in held), *none]), np.cumsum([0, *(len(rows[i]) for i in held)]))
     model.cut = best_cut(z, y[held])
     return model
 
@@ -220,4 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that aren't toxic, with all their columns."""
-    return score(docs, labels, keep=tuple(docs.columns), **options).where("not toxic").select(*docs.columns)
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # a column may itself be called toxic
+    given = docs.withColumnsRenamed({c: n for c, n in plain.items() if c not in ("doc_id", "text")})
+    kept = score(given, labels, keep=tuple(given.columns), **options).where("not toxic")
+    return kept.select(*(F.col(c if c in ("doc_id", "text") else n).alias(c) for c, n in plain.items()))
