@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions import vector as V
 
 #: Query vectors are broadcast up to this many rows; beyond it the cross join is left to the optimizer.
 MAX_BROADCAST_QUERIES = 20_000
+#: Vectors in a block of ``knn``.
+BLOCK = 1024
 
 
 def prepare(vectors: DataFrame, column: str = "embedding", normalise: bool = True) -> DataFrame:
@@ -48,14 +52,79 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "c
     return top_k(scores(queries, vectors, metric, **names), k, least, **which)
 
 
+def _block_scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Similarities of all rows of ``q`` to all rows of ``v`` (V-01 ... V-08)."""
+    if metric in ("manhattan", "chebyshev"):
+        out = np.empty((len(q), len(v)))
+        for i, x in enumerate(q):
+            gap = np.abs(v - x)
+            out[i] = gap.sum(axis=1) if metric == "manhattan" else gap.max(axis=1, initial=0.0)
+        return 1 / (1 + out)
+    dots = q @ v.T
+    if metric in ("dot", "dot_product"):
+        return dots
+    if metric == "euclidean":
+        square = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None] - 2 * dots
+        for i, j in zip(*np.nonzero(square < 1e-6)):  # differences of nearly equal numbers
+            square[i, j] = ((q[i] - v[j]) ** 2).sum()
+        return 1 / (1 + np.sqrt(np.maximum(square, 0.0)))
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+    cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    return 1 - 2 * np.arccos(np.clip(cos, -1, 1)) / np.pi if metric == "angular" else cos
+
+
+def _blocks(vectors: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """Rows of packed keys and vectors, one for each Arrow batch and dimension; null and empty vectors are left out."""
+
+    def run(batches):
+        for b in batches:
+            sizes = b.column("v").value_lengths().fill_null(0).to_numpy()
+            for dim in np.unique(sizes[sizes > 0]):
+                rows = b.take(pa.array(np.flatnonzero(sizes == dim)))
+                for at in range(0, rows.num_rows, BLOCK):
+                    part = rows.slice(at, BLOCK)
+                    values = part.column("v").flatten().fill_null(0.0).to_numpy().astype("<f8")
+                    ids = part.column("k").to_numpy().astype("<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", f"{name}_ids", f"{name}_v"])
+
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), V.double(F.col(column)).alias("v"))
+    return rows.mapInArrow(run, f"dim int, {name}_ids binary, {name}_v binary")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", least: float = 0.0, query: str = "query_id", key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """J-05, K-02 for query tables of any size: query, key, score, rank of the k best of each query, ties by key.
+
+    Both sides are packed into blocks of ``BLOCK`` rows that meet in a join on the
+    dimension; a pair of blocks is one matrix product and leaves k rows a query, so
+    what is shuffled to the final ranking is k rows for each query and block, never the pairs.
+    Scores are rounded to 9 digits before they are ranked.
+    """
+
+    def best(batches):
+        for b in batches:
+            for dim, qi, qv, vi, vv in zip(*(b.column(c).to_pylist() for c in ("dim", "q_ids", "q_v", "v_ids", "v_v"))):
+                q, v = np.frombuffer(qv, "<f8").reshape(-1, dim), np.frombuffer(vv, "<f8").reshape(-1, dim)
+                qi, vi = np.frombuffer(qi, "<i8"), np.frombuffer(vi, "<i8")
+                order = np.argsort(vi, kind="stable")
+                s = np.round(_block_scores(metric, q, v[order]), 9)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(s, top, axis=1)
+                rows, at = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(vi[order][top[rows, at]]), pa.array(score[rows, at])], names=[query, key, "score"])
+
+    pairs = _blocks(vectors, key, column, "v").join(_blocks(queries, query, column, "q"), "dim")
+    scored = pairs.select("dim", "q_ids", "q_v", "v_ids", "v_v").mapInArrow(best, f"{query} long, {key} long, score double")
+    return top_k(scored, k, least, query, key)
+
+
 def hybrid(queries: DataFrame, vectors: DataFrame, weights: dict[str, float], k: int = 10, query: str = "query_id", key: str = "vec_id") -> DataFrame:
     """V-16, A-15, K-04: the 2k best of each metric, weighted (weights summing to 1) and added; an absent metric adds 0."""
     scale = sum(weights.values()) or 1.0
     parts = None
     for metric, w in weights.items():
-        one = search(queries, vectors, 2 * k, metric, query=query, key=key).select(query, key, (F.col("score") * (w / scale)).alias("part"))
+        one = knn(queries, vectors, 2 * k, metric, query=query, key=key).select(query, key, (F.col("score") * (w / scale)).alias("part"))
         parts = one if parts is None else parts.unionByName(one)
-    return top_k(parts.groupBy(query, key).agg(F.sum("part").alias("score")), k, query=query, key=key)
+    return top_k(parts.groupBy(query, key).agg(F.round(F.sum("part"), 9).alias("score")), k, query=query, key=key)
 
 
 def adaptive(queries: DataFrame, vectors: DataFrame, metrics: tuple[str, ...] = ("cosine", "euclidean", "manhattan", "dot"), query: str = "query_id", key: str = "vec_id") -> DataFrame:
@@ -63,7 +132,7 @@ def adaptive(queries: DataFrame, vectors: DataFrame, metrics: tuple[str, ...] =
     few = queries.orderBy(query).limit(10)
     out = None
     for m in metrics:
-        one = search(few, vectors, 10, m, query=query, key=key).groupBy(query).agg(F.var_pop("score").alias("v")).select(F.lit(m).alias("metric"), "v")
+        one = knn(few, vectors, 10, m, query=query, key=key).groupBy(query).agg(F.var_pop("score").alias("v")).select(F.lit(m).alias("metric"), "v")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("metric").agg(F.sum("v").alias("variance")).orderBy(F.col("variance").desc(), "metric")
 
@@ -72,7 +141,7 @@ def compare(queries: DataFrame, vectors: DataFrame, metrics: tuple[str, ...] = (
     """V-18: the top k under each metric."""
     out = None
     for m in metrics:
-        one = search(queries, vectors, k, m, **names).withColumn("metric", F.lit(m))
+        one = knn(queries, vectors, k, m, **names).withColumn("metric", F.lit(m))
         out = one if out is None else out.unionByName(one)
     return out
 

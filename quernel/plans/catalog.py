@@ -100,23 +100,24 @@ _METRIC_SQL = {
 }
 
 
-def _topk_sql(metric: str, queries: str, k: int) -> str:
+def _topk_sql(metric: str, k: int, queries: str = "true") -> str:
     return f"""SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS k
-      FROM (SELECT b.vec_id AS query_id, a.vec_id, {_METRIC_SQL[metric]} AS s FROM unit a, unit b WHERE b.vec_id {queries})
+      FROM (SELECT b.vec_id AS query_id, a.vec_id, round({_METRIC_SQL[metric]}, 9) AS s FROM unit a, unit b WHERE {queries}) WHERE s >= 0
       QUALIFY k <= {k}"""
 
 
-def _unit_vectors(spark, sf_dir, least_excluded: int):
+def _unit_vectors(spark, sf_dir):
+    """Every vector, as a query and as what is searched."""
     v = search.prepare(_table(spark, sf_dir, "embeddings"))
-    return v.where(F.col("vec_id") < least_excluded).withColumnRenamed("vec_id", "query_id"), v
+    return v.withColumnRenamed("vec_id", "query_id"), v
 
 
 def _metric_query(metric: str):
     def run(spark, sf_dir):
-        q, v = _unit_vectors(spark, sf_dir, 1)
-        return search.search(q, v, 10, metric, n_queries=1).select("vec_id", _r("score").alias("score"), "rank")
+        q, v = _unit_vectors(spark, sf_dir)
+        return search.knn(q, v, 10, metric).select("query_id", "vec_id", _r("score").alias("score"), "rank")
 
-    sql = f"WITH {_UNIT} SELECT vec_id, round(s, 6) AS score, CAST(k AS INTEGER) AS rank FROM ({_topk_sql(metric, '= 0', 10)})"
+    sql = f"WITH {_UNIT} SELECT query_id, vec_id, round(s, 6) AS score, CAST(k AS INTEGER) AS rank FROM ({_topk_sql(metric, 10)})"
     _query(sql, f"{metric}_topk")(run)
 
 
@@ -124,27 +125,37 @@ for _m in _METRIC_SQL:
     _metric_query(_m)
 
 
-@_query(f"WITH {_UNIT} SELECT query_id, vec_id, round(s, 6) AS score, CAST(k AS INTEGER) AS rank FROM ({_topk_sql('cosine', '< 8', 5)})")
-def batch_cosine_topk(spark, sf_dir):
-    q, v = _unit_vectors(spark, sf_dir, 8)
-    return search.search(q, v, 5).select("query_id", "vec_id", _r("score").alias("score"), "rank")
-
-
-@_query(f"""WITH {_UNIT}, parts AS (SELECT query_id, vec_id, 0.5 * s AS p FROM ({_topk_sql('cosine', '= 0', 20)}) UNION ALL
-  SELECT query_id, vec_id, 0.3 * s FROM ({_topk_sql('euclidean', '= 0', 20)}) UNION ALL SELECT query_id, vec_id, 0.2 * s FROM ({_topk_sql('dot', '= 0', 20)})),
-  best AS (SELECT vec_id, sum(p) AS s, row_number() OVER (ORDER BY sum(p) DESC, vec_id) AS k FROM parts GROUP BY vec_id)
+@_query(f"""WITH {_UNIT}, centre AS (SELECT i, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM unit) GROUP BY i), mean AS (SELECT list(x ORDER BY i) AS v FROM centre),
+  scored AS (SELECT a.vec_id, round({_METRIC_SQL["cosine"]}, 9) AS s FROM unit a, mean b),
+  best AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS k FROM scored WHERE s >= 0)
   SELECT vec_id, round(s, 6) AS score, CAST(k AS INTEGER) AS rank FROM best WHERE k <= 10""")
+def centroid_search(spark, sf_dir):
+    """One query vector (the mean of all): the plain expression search without blocks."""
+    _, v = _unit_vectors(spark, sf_dir)
+    parts = v.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
+    q = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding")).withColumn("query_id", F.lit(0))
+    found = search.scores(q, v, n_queries=1).withColumn("score", F.round("score", 9)).where("score >= 0")
+    return rank.top_k(found, 10, "score", "vec_id").select("vec_id", _r("score").alias("score"), "rank")
+
+
+@_query(f"""WITH {_UNIT}, parts AS (SELECT query_id, vec_id, 0.5 * s AS p FROM ({_topk_sql('cosine', 20)}) UNION ALL
+  SELECT query_id, vec_id, 0.3 * s FROM ({_topk_sql('euclidean', 20)}) UNION ALL SELECT query_id, vec_id, 0.2 * s FROM ({_topk_sql('dot', 20)})),
+  summed AS (SELECT query_id, vec_id, round(sum(p), 9) AS s FROM parts GROUP BY query_id, vec_id),
+  best AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS k FROM summed WHERE s >= 0)
+  SELECT query_id, vec_id, round(s, 6) AS score, CAST(k AS INTEGER) AS rank FROM best WHERE k <= 10""")
 def hybrid_metric_topk(spark, sf_dir):
-    q, v = _unit_vectors(spark, sf_dir, 1)
-    return search.hybrid(q, v, {"cosine": 0.5, "euclidean": 0.3, "dot": 0.2}).select("vec_id", _r("score").alias("score"), "rank")
+    q, v = _unit_vectors(spark, sf_dir)
+    return search.hybrid(q, v, {"cosine": 0.5, "euclidean": 0.3, "dot": 0.2}).select("query_id", "vec_id", _r("score").alias("score"), "rank")
 
 
-_ADAPT = " UNION ALL ".join(f"SELECT '{m}' AS metric, query_id, var_pop(s) AS v FROM ({_topk_sql(m, '< 10', 10)}) GROUP BY query_id" for m in ("cosine", "euclidean", "manhattan", "dot"))
+_TEN = "b.vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 10)"
+_ADAPT = " UNION ALL ".join(f"SELECT '{m}' AS metric, query_id, var_pop(s) AS v FROM ({_topk_sql(m, 10, _TEN)}) GROUP BY query_id" for m in ("cosine", "euclidean", "manhattan", "dot"))
 
 
 @_query(f"WITH {_UNIT} SELECT metric, round(sum(v), 9) AS variance FROM ({_ADAPT}) GROUP BY metric")
 def adaptive_metric(spark, sf_dir):
-    q, v = _unit_vectors(spark, sf_dir, 10)
+    """The choice looks at ten queries; that number is the feature's own."""
+    q, v = _unit_vectors(spark, sf_dir)
     return search.adaptive(q, v).withColumn("variance", _r("variance", 9))
 
 
@@ -209,12 +220,12 @@ def dedup_documents(spark, sf_dir):
     return hashed.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "file_hash", "copies")
 
 
-@_query("""SELECT d.doc_id FROM (SELECT min(doc_id) AS doc_id, text FROM documents WHERE doc_id % 3 = 0 GROUP BY text) d
-  WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 1)""")
+@_query("""SELECT min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL) GROUP BY text""")
 def anti_new_docs(spark, sf_dir):
-    """Insert-if-absent: one arrival batch against what is stored (the split into the two is the test's setting, not a cap)."""
+    """Insert-if-absent by content hash: all documents against the stored texts (``benchmark``)."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", kb.file_hash(F.col("text")).alias("file_hash"))
-    return kb.insert_if_absent(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"), ["file_hash"], "doc_id").select("doc_id")
+    stored = _table(spark, sf_dir, "benchmark").select("item_id", kb.file_hash(F.col("text")).alias("file_hash"))
+    return kb.insert_if_absent(docs, stored, ["file_hash"], "doc_id").select("doc_id")
 
 
 @_query("""SELECT event_type AS entity_type, lower(CAST(user_id AS VARCHAR)) AS normalized_name, CAST(user_id AS VARCHAR) AS name, count(*) AS frequency FROM events GROUP BY 1, 2, 3""")
