@@ -144,18 +144,26 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The score of greatest F1; of several, the middle of the widest gap; 0 if there is nothing to choose by."""
+    """The score of greatest F1 among those from which at least half of the rows are toxic; of several, the middle of the widest gap.
+
+    Scores that tell nothing apart leave no such cut, or only one below all rows;
+    then the cut lies above all scores, so that clean rows stay. 0 if
+    there is nothing to choose by.
+    """
     if not len(y) or y.min() == y.max():
         return 0.0
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     after = np.cumsum(y[::-1])[::-1]
-    f1 = 2 * after / (np.arange(len(y), 0, -1) + y.sum())
-    gaps = np.diff(z, prepend=z[0] - 1)
-    f1[gaps <= 0] = -1
+    called = np.arange(len(y), 0, -1)
+    f1 = 2 * after / (called + y.sum())
+    gaps = np.diff(z, prepend=z[0])
+    f1[(gaps <= 0) | (2 * after < called)] = -1
+    if f1.max() < 0:
+        return float(z[-1] + 0.5)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     at = best[np.argmax(gaps[best])]
-    return float((z[at] + z[at - 1]) / 2) if at else float(z[0] - 0.5)
+    return float((z[at] + z[at - 1]) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, **options) -> Model:
