@@ -38,10 +38,14 @@ def mean(values: Column) -> Column:
 
 def coherence(parts: Column) -> Column:
     """X-04: 1 - variance / (mean^2 + 1) of words a sentence, within 0 and 1; 1 for one sentence or none."""
-    sizes = F.transform(parts, lambda s: F.size(split_words(s)).cast("double"))
-    avg = mean(sizes)
-    var = mean(F.transform(sizes, lambda x: (x - avg) * (x - avg)))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - var / (avg * avg + 1)))
+    # One pass for number, sum and sum of squares: a lambda that names the mean would compute it for each sentence.
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    score = F.aggregate(
+        F.transform(parts, lambda s: F.regexp_count(s, F.lit(r"\S+")).cast("double")), start,
+        lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")),
+        lambda a: F.lit(1.0) - (a["q"] / a["n"] - F.pow(a["s"] / a["n"], F.lit(2.0))) / (F.pow(a["s"] / a["n"], F.lit(2.0)) + 1),
+    )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     return F.when(F.size(parts) <= 1, F.lit(1.0)).otherwise(score)
 
 
