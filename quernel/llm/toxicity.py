@@ -9,6 +9,8 @@ so inflected and coined forms share terms with their stems.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,37 +76,46 @@ class Model:
         return out
 
 
-def _known(rows: list[np.ndarray], y: np.ndarray, fit: np.ndarray, least: int, evidence: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Terms of at least ``least`` of the fitted rows, ``evidence`` standard deviations more or less frequent in toxic ones than in all; and each row's."""
+def _evident(n, toxic, share: float, rows: int, least: int, evidence: float, greatest, root, size):
+    """Whether a term of ``n`` rows, ``toxic`` of them toxic, is in ``least`` rows and ``evidence`` standard deviations more or less frequent in toxic ones than in all."""
+    spread = root(greatest(n * share * (1 - share) * (1 - n / max(1, rows)), 1e-9))
+    return (n >= least) & (size(toxic - n * share) >= evidence * spread)
+
+
+def _known(rows: list[np.ndarray], y: np.ndarray, fit: np.ndarray, least: int, evidence: float) -> np.ndarray:
+    """Terms of the fitted rows that there is evidence for."""
     none = [np.zeros(0, dtype=np.uint64)]
     values, n = np.unique(np.concatenate([*(rows[i] for i in fit), *none]), return_counts=True)
     bad, m = np.unique(np.concatenate([*(rows[i] for i in fit if y[i]), *none]), return_counts=True)
     toxic = np.zeros(len(values))
     toxic[np.searchsorted(values, bad)] = m
-    share = y[fit].mean() if len(fit) else 0.0
-    spread = np.sqrt(np.maximum(n * share * (1 - share) * (1 - n / max(1, len(fit))), 1e-9))
-    values = values[(n >= least) & (np.abs(toxic - n * share) >= evidence * spread)]
-    if not len(values):
-        return values, [np.zeros(0, dtype=np.int64) for _ in rows]
-    index = []
+    return values[_evident(n, toxic, y[fit].mean() if len(fit) else 0.0, len(fit), least, evidence, np.maximum, np.sqrt, np.abs)]
+
+
+def _places(rows: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
+    """Of each row, where its known terms are."""
+    if not len(known):
+        return [np.zeros(0, dtype=np.int64) for _ in rows]
+    out = []
     for r in rows:
-        at = np.minimum(np.searchsorted(values, r), len(values) - 1)
-        index.append(at[values[at] == r])
-    return values, index
+        at = np.minimum(np.searchsorted(known, r), len(known) - 1)
+        out.append(at[known[at] == r])
+    return out
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, least: int = MIN_ROWS, evidence: float = EVIDENCE, seed: int = 7) -> Model:
-    """AdaGrad on the logistic loss, batches of 64; of the rows, a fifth chooses the cut and takes no part in fitting.
+def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, least: int = MIN_ROWS, evidence: float = EVIDENCE, seed: int = 7, held: np.ndarray | None = None, known: np.ndarray | None = None) -> Model:
+    """AdaGrad on the logistic loss, batches of 64; of the rows, ``held`` (a fifth) chooses the cut and takes no part in fitting.
 
-    Only terms that ``_known`` finds evidence for are used. Rows should come in a fixed
+    Only ``known`` terms are used, by default those that the rows give evidence for. Rows should come in a fixed
     order; the same rows give the same model. Rows of one class only give a
     model that calls nothing toxic (or, if all are toxic, everything).
     """
     y = np.asarray(toxic, dtype=np.float64)
     rng = np.random.Generator(np.random.PCG64(seed))
-    held = rng.permutation(len(y))[: len(y) // 5]
+    held = rng.permutation(len(y))[: len(y) // 5] if held is None else np.flatnonzero(held)
     fit = np.setdiff1d(np.arange(len(y)), held)
-    known, index = _known(rows, y, fit, least, evidence)
+    known = _known(rows, y, fit, least, evidence) if known is None else known
+    index = _places(rows, known)
     m = len(known)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
     gw, gv, gb, b = np.full(m, 1e-2), np.full((m, factors), 1e-2), 1e-2, 0.0
@@ -169,25 +180,56 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, **options) -> Model:
     """Fit on at most ``max_train_rows`` labelled documents: those whose doc_id hashes lowest, so the same at any partitioning.
 
-    The sample is the bound; it is joined to the documents by doc_id, hashed into
-    terms where the documents are, and fitted in one task.
+    The sample is the bound; it is joined to the documents by doc_id and hashed into
+    terms where the documents are. Terms are counted over all tasks, and only
+    those that there is evidence for go to the one task that fits.
     """
     spark = docs.sparkSession
+    least, evidence = options.get("least", MIN_ROWS), options.get("evidence", EVIDENCE)
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows), "sample")
+    chosen = chosen.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id").cast("long")), F.lit(5)) == 0)
+    chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows), "chosen")
     text = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(small(chosen, max_train_rows), "doc_id")
 
     def hashed(batches):
-        for b in (part for whole in batches for part in slices(whole, "text")):
+        for b in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
             found, bounds = terms(b.column("text"))
             packed = pa.array([found[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), packed], names=["doc_id", "toxic", "terms"])
-
-    sample = text.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, terms binary")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "held")), packed], names=["doc_id", "toxic", "held", "terms"])
+
+    sample = text.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "held", "text").mapInArrow(hashed, "doc_id long, toxic int, held boolean, terms binary")
+    sample = materialise(sample, "labelled")
+
+    def tally(batches):
+        for b in (part for whole in batches for part in slices(whole, "terms", 4 << 20)):
+            data, ends = textvec.buffers(b.column("terms"))
+            values, at = np.unique(data.view(np.uint64), return_inverse=True)
+            bad = np.repeat(b.column("toxic").to_numpy(), np.diff(ends) // 8)
+            n, m = np.bincount(at, minlength=len(values)), np.bincount(at, bad, len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n), pa.array(m)], names=["term", "n", "toxic"])
+
+    fitted_on = sample.where("not held")
+    n_rows, share = fitted_on.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
+    counted = fitted_on.select("toxic", "terms").mapInArrow(tally, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    column = lambda x: x if not isinstance(x, float) else F.lit(x)
+    good = _evident(F.col("n"), F.col("toxic"), float(share), n_rows, least, evidence, lambda a, b: F.greatest(a, column(b)), F.sqrt, F.abs)
+    known = np.sort(counted.where(good).select("term").toArrow().column("term").to_numpy().view(np.uint64))
+
+    def narrowed(batches):
+        for b in (part for whole in batches for part in slices(whole, "terms", 4 << 20)):
+            data, ends = textvec.buffers(b.column("terms"))
+            values = data.view(np.uint64)
+            hit = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), dtype=bool)
+            before = np.concatenate([[0], np.cumsum(hit)])[ends // 8]
+            kept = np.ascontiguousarray(values[hit])
+            packed = pa.array([kept[a:z].tobytes() for a, z in zip(before[:-1], before[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "held")), packed], names=["doc_id", "toxic", "held", "terms"])
+
+    sample = sample.mapInArrow(narrowed, "doc_id long, toxic int, held boolean, terms binary")
 
     def fitted(rows):
         rows = rows.sort_values(["doc_id", "terms"], kind="stable")
-        m = train([np.frombuffer(t, dtype=np.uint64) for t in rows["terms"]], rows["toxic"].to_numpy(), **options)
+        m = train([np.frombuffer(t, dtype=np.uint64) for t in rows["terms"]], rows["toxic"].to_numpy(), held=rows["held"].to_numpy(dtype=bool), known=known, **options)
         import pandas as pd
 
         used = np.flatnonzero((np.abs(m.weight) > 1e-6) | (np.abs(m.factors).max(axis=1, initial=0) > 1e-6))
@@ -208,28 +250,31 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     alone; a null doc_id keeps its row; repeated rows score alike. Without
     labels of both classes nothing is called toxic (all, if every label is).
     """
-    model = fit(docs, labels, max_train_rows, **options)
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.weight, model.factors, model.bias, model.cut))
-    wanted = docs.select(*keep, F.lower("text").alias("__lower"))
-    fields = wanted.schema.fields[:-1]
-    from pyspark.sql import types as T
+    z = _margin(docs, fit(docs, labels, max_train_rows, **options))
+    scored = docs.select(*keep, z(F.lower("text")).alias("__z"))
+    at_most = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__z")))
+    return scored.select(*keep, (1 / (1 + F.exp(-at_most))).alias("toxicity"), (F.col("__z") >= 0).alias("toxic"))
+
+
+def _margin(docs: DataFrame, model: Model):
+    """Column function: by how much the score of a lower-case text passes the cut.
 
-    schema = T.StructType([*fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
-    names = [f.name for f in fields]
+    Only that one column goes to Python and only a number comes back; the rows'
+    other columns stay in the JVM.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.weight, model.factors, model.bias, model.cut))
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def margin(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(*shared.value)
-        for b in (part for whole in batches for part in slices(whole, "__lower")):
-            z = model.score(*terms(b.column("__lower"))) - model.cut
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array(z >= 0)], names=[*names, "toxicity", "toxic"])
+        for texts in batches:
+            parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 2 << 20)
+            yield pa.array(np.concatenate([model.score(*terms(b.column("text"))) - model.cut for b in parts] or [np.zeros(0)]))
 
-    return wanted.mapInArrow(run, schema)
+    return margin
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that aren't toxic, with all their columns."""
-    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # a column may itself be called toxic
-    given = docs.withColumnsRenamed({c: n for c, n in plain.items() if c not in ("doc_id", "text")})
-    kept = score(given, labels, keep=tuple(given.columns), **options).where("not toxic")
-    return kept.select(*(F.col(c if c in ("doc_id", "text") else n).alias(c) for c, n in plain.items()))
+    z = _margin(docs, fit(docs, labels, **options))
+    return docs.where(z(F.lower("text")) < 0)
