@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 UPPER = "A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬĐÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴ"
 _LOWER = UPPER.lower()
-NUMBER = r"(?iu)(?:Bản án số|Quyết định số|Số)\s*:?\s*(\d+/\d{4}/[A-Z-]+)"
-_ROLES = {"defendants": "Bị cáo|Bị đơn", "plaintiffs": "Nguyên đơn|Đơn vị khởi tố", "prosecutors": "Kiểm sát viên|Đại diện VKS", "judges": "Thẩm phán|Chủ tọa"}
+_CODE, _COLON, _REST = r"(\d+/\d{4}/[A-Z-]+)", r"\s*:?\s*", r"[^\n]*?"
+
+
+def _after(*heads: str, flags: str = "iu") -> str:
+    """Pattern of one of ``heads`` with an optional colon."""
+    return f"(?{flags})(?:{'|'.join(heads)}){_COLON}"
+
+
+NUMBER = _after("Bản án số", "Quyết định số", "Số") + _CODE
+_ROLES = {"judges": ("Thẩm phán", "Chủ tọa"), "prosecutors": ("Kiểm sát viên", "Đại diện VKS"), "defendants": ("Bị cáo", "Bị đơn"), "plaintiffs": ("Nguyên đơn", "Đơn vị khởi tố")}
+_KINDS = ("defendants", "plaintiffs", "prosecutors", "judges")
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -43,38 +52,45 @@ def court_name(text: Column) -> Column:
 
 
 def date_issued(text: Column) -> Column:
-    return _first(text, r"(?iu)Ngày\s*:?\s*(\d{1,2}/\d{1,2}/\d{4})")
+    return _first(text, _after("Ngày") + "/".join((r"(\d{1,2}", r"\d{1,2}", r"\d{4})")))
 
 
 def parties(text: Column) -> Column:
     """X-22: per role, what follows it up to a line break or semicolon."""
-    found = lambda names: F.transform(_all(text, rf"(?iu)(?:{names})\s*:?\s*([^\n]*?)(?=\n|;)"), lambda v: F.trim(v))
-    return F.struct(*(found(names).alias(role) for role, names in _ROLES.items()))
+    found = lambda names: F.transform(_all(text, f"{_after(*names)}({_REST})(?=\n|;)"), lambda v: F.trim(v))
+    return F.struct(*(found(_ROLES[k]).alias(k) for k in _KINDS))
+
+
+_CRIME = ("về tội", "phạm tội")
 
 
 def charges(text: Column) -> Column:
     """X-23: of more than five characters, each once, sorted."""
-    found = _all(text, r"""(?iu)(?:về tội|phạm tội)\s*["']?([^\n]*?)["']?(?=\s*theo|$)""")
+    found = _all(text, "(?iu)(?:" + "|".join(_CRIME) + rf""")\s*["']?({_REST})["']?(?=\s*theo|$)""")
     return F.filter(_distinct(found), lambda v: F.length(v) > 5)
 
 
 def legal_references(text: Column) -> Column:
     """X-24: codes with their year, and articles with clause and point."""
-    pattern = r"(?iu)điều\s*(\d+)(?:\s*khoản\s*(\d+))?(?:\s*điểm\s*([a-z]))?"
+    more = lambda word, what: rf"(?:\s*{word}\s*({what}))?"
+    pattern = r"(?iu)điều\s*(\d+)" + more("khoản", r"\d+") + more("điểm", "[a-z]")
     parts = F.arrays_zip(*(_all(text, pattern, k).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "c"))))
     tail = lambda word, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(word), v)).otherwise("")
-    articles = F.transform(parts, lambda p: F.concat(F.lit("Điều "), p["0"], tail(" khoản ", p["1"]), tail(" điểm ", p["2"])))
+    articles = F.transform(parts, lambda p: F.concat(F.lit("Điều "), p["a"], tail(" khoản ", p["b"]), tail(" điểm ", p["c"])))
     return _distinct(F.concat(_all(text, r"(?iu)(Bộ luật[^\n]*?\d{4})"), articles))
 
 
 def verdict(text: Column) -> Column:
-    return F.trim(_first(text, r"(?iu)(?:Tuyên bố|Quyết định)\s*:?\s*([^\n]*)"))
+    return F.trim(_first(text, _after("Tuyên bố", "Quyết định") + r"([^\n]*)"))
+
+
+_UNIT, _AMOUNT = "(?:năm|tháng|ngày)", r"(\d+(?:\.\d+)*)"
 
 
 def sentence(text: Column) -> Column:
     """X-25: prison term and fine, null without either."""
-    term = _first(text, r"(?iu)Phạt\s*[^\n]*?(\d+\s*(?:năm|tháng|ngày)\s*tù)")
-    fine = _first(text, r"(?iu)(?:Phạt tiền|phạt)\s*(\d+(?:\.\d+)*)\s*(?:đồng|VNĐ)")
+    term = _first(text, rf"(?iu)Phạt\s*{_REST}(\d+\s*{_UNIT}\s*tù)")
+    fine = _first(text, "(?iu)" + rf"(?:Phạt tiền|phạt)\s*{_AMOUNT}\s*(?:đồng|VNĐ)")
     return F.nullif(F.concat_ws("; ", term, F.concat(F.lit("Phạt tiền "), fine, F.lit(" đồng"))), F.lit(""))
 
 
@@ -104,13 +120,16 @@ def confidence(doc: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """X-36, second half: six kinds of citation, each once, sorted."""
-    kinds = (r"Điều\s+\d+(?:\s+khoản\s+\d+)?(?:\s+điểm\s+[a-z])?", r"Bộ luật[^\n]*?\d{4}", r"Luật[^\n]*?\d{4}", r"Nghị định[^\n]*?\d+/\d{4}", r"Thông tư[^\n]*?\d+/\d{4}", r"Quyết định[^\n]*?\d+/\d{4}")
+    year, issue = r"\d{4}", r"\d+/\d{4}"
+    dated = ((year, ("Bộ luật", "Luật")), (issue, ("Nghị định", "Thông tư", "Quyết định")))
+    more = lambda word, what: rf"(?:\s+{word}\s+{what})?"
+    kinds = [r"Điều\s+\d+" + more("khoản", r"\d+") + more("điểm", "[a-z]"), *(f"{name}{_REST}{end}" for end, names in dated for name in names)]
     return F.array_sort(F.array_distinct(F.concat(*(_all(text, f"(?iu)({k})") for k in kinds))))
 
 
 def key_sections(text: Column) -> Column:
     """X-36, first half: sections with their 0-based positions, by position (regular expressions report no spans, so lengths of what precedes give them)."""
-    kinds = {"verdict": "QUYẾT ĐỊNH|TUYÊN BỐ", "charges": "về tội|phạm tội", "facts": "NỘI DUNG VỤ ÁN|DIỄN BIẾN VỤ ÁN", "reasoning": "NHẬN ĐỊNH|XÉT THẤY", "sentence": "XỬ PHẠT|HÌNH PHẠT"}
+    kinds = {"sentence": "XỬ PHẠT|HÌNH PHẠT", "reasoning": "NHẬN ĐỊNH|XÉT THẤY", "facts": "NỘI DUNG VỤ ÁN|DIỄN BIẾN VỤ ÁN", "charges": "|".join(_CRIME), "verdict": "QUYẾT ĐỊNH|TUYÊN BỐ"}
 
     def of(kind: str, heads: str) -> Column:
         pattern = rf"(?ius)(?:{heads}).*?(?=\n\n|\n\p{{L}})"
@@ -127,10 +146,10 @@ def entities(text: Column) -> Column:
     name = f"[{UPPER}][{_LOWER}]*"
     kinds = {
         "persons": (rf"(?<![\p{{L}}\p{{N}}_])(?:Ông|Bà|Anh|Chị)\s+({name}(?:\s+{name})*)", 1),
-        "organizations": (rf"(?<![\p{{L}}\p{{N}}_])((?:Công ty|Tòa án|Viện|Cơ quan|Ủy ban|Hội đồng)\s+[{UPPER}][^.]*?)(?=\s*[.;,\n])", 1),
-        "dates": (r"(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})", 1),
-        "amounts": (r"(?iu)(\d+(?:\.\d+)*\s*(?:đồng|VNĐ|USD))", 1),
-        "case_numbers": (r"(\d+/\d{4}/[A-Z-]+)", 1),
+        "organizations": (rf"(?<![\p{{L}}\p{{N}}_])((?:Cơ quan|Công ty|Hội đồng|Tòa án|Viện|Ủy ban)\s+[{UPPER}][^.]*?)(?=\s*[.;,\n])", 1),
+        "dates": ("(" + "[/.-]".join((r"\d{1,2}", r"\d{1,2}", r"\d{2,4}")) + ")", 1),
+        "amounts": (rf"(?iu)({_AMOUNT}\s*(?:đồng|VNĐ|USD))", 1),
+        "case_numbers": (_CODE, 1),
     }
     found = [x for k, (p, g) in kinds.items() for x in (F.lit(k), _distinct(_all(text, p, g)))]
     return F.create_map(*found, F.lit("locations"), F.array().cast("array<string>"))

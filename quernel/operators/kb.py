@@ -71,7 +71,7 @@ def delete(rows: DataFrame, **wanted) -> tuple[DataFrame, DataFrame]:
     return rows.where(~gone), rows.agg(F.count_if(gone).alias("deleted"))
 
 
-def find(docs: DataFrame, text: str | None = None, document_type: str | None = None, case_number: str | None = None, court_name: str | None = None, date_from=None, date_to=None, min_confidence: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def find(docs: DataFrame, text: str | None = None, document_type: str | None = None, case_number: str | None = None, court_name: str | None = None, date_from=None, date_to=None, min_confidence: float | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """F-01 ... F-03, K-01, X-41: conjunctive search; best confidence, then newest, then id."""
     like = lambda c, v: F.ilike(F.col(c), F.lit(f"%{v}%"))
     out = docs

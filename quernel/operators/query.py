@@ -12,7 +12,7 @@ SYNONYMS = {"contract": ["agreement", "deal"], "law": ["statute", "act"], "court
 DOMAIN = {"court": ["judgment", "hearing"], "contract": ["clause", "party"], "criminal": ["sentence"], "civil": ["dispute"]}
 SHORT = {"blds": "bộ luật dân sự", "blhs": "bộ luật hình sự", "tand": "tòa án nhân dân", "ubnd": "ủy ban nhân dân", "hđ": "hợp đồng"}
 WEIGHTS = {"synonym": 0.8, "semantic": 0.7, "statistical": 0.6, "domain": 0.9, "abbreviation": 0.95}
-CONTRACTIONS = {"can't": "cannot", "won't": "will not", "n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am"}
+CONTRACTIONS = {"can't": "cannot", "won't": "will not", "n't": " not", **{f"'{k}": f" {v}" for k, v in (("m", "am"), ("ve", "have"), ("ll", "will"), ("re", "are"))}}
 TASKS = {
     "document_analysis": ["analyze", "analysis", "review", "examine", "phân tích"], "legal_research": ["research", "precedent", "find law", "law", "nghiên cứu"],
     "contract_review": ["contract", "agreement", "hợp đồng"], "compliance_check": ["compliant", "compliance", "regulation", "tuân thủ"], "case_summary": ["summarize", "summary", "tóm tắt"],

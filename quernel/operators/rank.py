@@ -61,7 +61,7 @@ def _scored(docs: DataFrame, text: str, key: str, body: str, weigh) -> DataFrame
 def bm25(docs: DataFrame, text: str, key: str = "doc_id", body: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """R-11: key, score of documents with any query term. Idf ln((N-df+.5)/(df+.5)) may be negative; a repeated query term counts again."""
     def weigh(tf, df, n, size, avg):
-        return F.ln((n - df + 0.5) / (df + 0.5)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * size / avg))
+        return F.ln((n + 0.5 - df) / (0.5 + df)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * size / avg))
 
     return _scored(docs, text, key, body, weigh)
 
@@ -117,7 +117,7 @@ def engagement(views: Column, in_history: Column) -> Column:
 
 def entity_matching(body: Column, text: str) -> Column:
     """R-09: share of the query's capitalised words, whole numbers and dates that the text has."""
-    pattern = r"(\p{Lu}[\p{L}]+|\d{1,2}/\d{1,2}/\d{4}|\d+)"
+    pattern = r"(\p{Lu}[\p{L}]+|" + "/".join((r"\d{1,2}", r"\d{1,2}", r"\d{4}")) + r"|\d+)"
     want = F.array_distinct(F.regexp_extract_all(F.lit(text), F.lit(pattern), 1))
     have = F.regexp_extract_all(body, F.lit(pattern), 1)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(want, have)).cast("double"), F.size(want)), F.lit(0.0))
