@@ -64,7 +64,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocab: str = tokens.VOCAB, rows_
     Rows: window_id from 0, n_tokens, tokens, and segments (doc_id, doc_start:
     the document's first id here, win_start, length) in order. All windows are
     full but the last. A null text adds nothing, an empty one its end mark. A
-    null doc_id comes first; rows of one doc_id follow in order of their ids, so
+    null doc_id comes first; rows of one doc_id follow in order of a hash of their ids, so
     repeated rows stand side by side. No text at all gives no row. Other
     columns are not read.
     """
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocab: str = tokens.VOCAB, rows_
             yield pa.RecordBatch.from_arrays([*b.columns, bucket], names=[*b.schema.names, "bucket"])
 
     ids = tokens.with_ids(keyed.where(F.col("text").isNotNull()), "text", vocab)
-    ids = ids.mapInArrow(bucketed, "doc_id long, ids binary, n_tokens long, bucket int").withColumn("row", F.monotonically_increasing_id())
+    ids = ids.mapInArrow(bucketed, "doc_id long, ids binary, n_tokens long, bucket int").withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("ids"))
     ids = materialise(ids, "stream")
 
     totals = np.zeros(n_buckets, dtype=np.int64)
@@ -132,14 +132,12 @@ def pack(docs: DataFrame, length: int = LENGTH, vocab: str = tokens.VOCAB, rows_
                 held = new if held is None else (pa.concat_arrays([held[0], new[0]]), *(np.concatenate(x) for x in zip(held[1:], new[1:])))
                 held, at = yield from windows(held, at, int(base[bucket + 1]) // length)
 
-    inside = ids.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "ids", "row").select("doc_id", "ids", "bucket").mapInArrow(whole, SCHEMA)
+    inside = ids.select("doc_id", "ids", "bucket", "h", "row").repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "h", "row").select("doc_id", "ids", "bucket").mapInArrow(whole, SCHEMA)
 
     # Edges: of the lengths alone, a few documents at each end of each bucket.
     table = spark.createDataFrame([(i, int(base[i]), int(base[i + 1])) for i in range(n_buckets)], "bucket int, low long, high long")
-    in_order = Window.partitionBy("bucket").orderBy("doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, 0)
-    tied = ids.groupBy("bucket", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "doc_id")
-    ties = ids.join(tied, (ids["bucket"] == tied["bucket"]) & ids["doc_id"].eqNullSafe(tied["doc_id"]), "left_semi").select("row", F.col("ids").alias("tie"))
-    slim = ids.select("bucket", "doc_id", "row", "n_tokens").join(ties, "row", "left")
+    in_order = Window.partitionBy("bucket").orderBy("doc_id", "h", "row").rowsBetween(Window.unboundedPreceding, 0)
+    slim = ids.select("bucket", "doc_id", "h", "row", "n_tokens")
     placed = slim.withColumn("after", F.sum(F.col("n_tokens") + 1).over(in_order)).join(small(table, n_buckets), "bucket")
     stop, start = F.col("low") + F.col("after"), F.col("low") + F.col("after") - F.col("n_tokens") - 1
     head, tail = F.ceil(F.col("low") / length) * length, F.floor(F.col("high") / length) * length
