@@ -36,6 +36,7 @@ def solve(totals, max_repeat: float | None = None, entropy: float | None = None,
     more than ``max_repeat`` times and the entropy is at most ``entropy`` (nats);
     1 (the sources' own shares) if none suffices. Without a budget it is the
     least that shows every source whole. Sources without tokens are shown once.
+    Rounded to 9 digits, so that the last bit of a power never decides about a document.
     """
     totals = np.asarray(totals, dtype=np.float64)
     full = totals > 0
@@ -56,7 +57,7 @@ def solve(totals, max_repeat: float | None = None, entropy: float | None = None,
     for _ in range(steps if high else 0):
         middle = (low + high) / 2
         low, high = (low, middle) if suits(middle) else (middle, high)
-    return high, np.where(full, shown(high), 1.0)
+    return high, np.where(full, np.round(shown(high), 9), 1.0)
 
 
 def _hex(text: Column) -> Column:
@@ -174,7 +175,7 @@ exponent AS (SELECT arg_max(high, step) AS a FROM bisect),
 plan AS (
   SELECT s.src, s.t AS source_tokens, greatest(1, CAST(ceil(s.t / {bt}) AS BIGINT)) AS n_blocks,
          CASE WHEN s.t = 0 THEN 1.0 ELSE
-           (pow(h.p, (SELECT a FROM exponent)) / h.t) / (SELECT min(pow(p, (SELECT a FROM exponent)) / t) FROM shares) END AS shown
+           round((pow(h.p, (SELECT a FROM exponent)) / h.t) / (SELECT min(pow(p, (SELECT a FROM exponent)) / t) FROM shares), 9) END AS shown
   FROM sources s LEFT JOIN shares h USING (src)),
 placed AS (
   SELECT d.*, p.source_tokens, p.shown,
