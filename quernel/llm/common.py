@@ -58,9 +58,10 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def slices(batch, column: str, most: int = 4 << 20):
-    """Cut an Arrow batch into row ranges of about ``most`` bytes of ``column`` (one row at least), so a worker's arrays stay small."""
+def slices(batch, column: str, most: int = 1 << 20):
+    """Cut an Arrow batch into row ranges of about ``most`` bytes of ``column`` (one row at least), so a worker's arrays stay small; what they took is given back after the batch."""
     import numpy as np
+    import pyarrow as pa
 
     values = batch.column(column)
     kind = np.int64 if str(values.type).startswith("large") else np.int32
@@ -70,6 +71,7 @@ def slices(batch, column: str, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

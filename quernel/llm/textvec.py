@@ -20,7 +20,7 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 
 def powers(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         for k, factor in enumerate((_BASE, _INVERSE)):
             run = np.full(n, factor, dtype=np.uint64)
             run[0] = 1
