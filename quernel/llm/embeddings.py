@@ -3,13 +3,18 @@
 A pass projects every vector on 64 random directions and orders all vectors by
 the concatenated signs; near vectors share long prefixes, so they lie close.
 Each vector is compared with its next ``WINDOW`` neighbours, also across
-partition bounds, and pairs of at least the threshold cosine are united over
+partition bounds, and with every earlier one that shares its first bits, however
+many they are, so neighbours below the threshold don't crowd near ones out. How
+many bits follows from the number of vectors, and how many passes from the bits
+(see ``plan``). Pairs of at least the threshold cosine are united over
 all passes. Equal vectors are united first and sorted once, so runs of copies
 never fill a window.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,9 +25,24 @@ from .common import materialise, pieces
 from .components import components
 
 THRESHOLD, PASSES, WINDOW, PER_PARTITION, SEED = 0.95, 12, 32, 100_000, 20240311
+RECALL, PER_RUN = 0.95, 256  # of pairs at the threshold; vectors that share their first bits, if they lie evenly
 _ROW = "kind int, part int, pass int, dim int, key long, id long, v binary, other long, cosine double"
 
 
+def plan(rows: int, threshold: float = THRESHOLD, passes: int = PASSES) -> tuple[int, int]:
+    """First bits that rows compared with each other share, and passes (``passes`` at least).
+
+    A pair at the threshold shares a bit with probability 1 - acos(threshold) / pi,
+    so ``RECALL`` of such pairs share their first bits in one of the passes.
+    """
+    same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    needed = lambda bits: math.ceil(math.log(1 - RECALL) / math.log(1 - same**bits)) if same < 1 else 1
+    bits = max(1, math.ceil(math.log2(max(1, rows) / PER_RUN)))
+    while bits < 63 and needed(bits + 1) <= passes:
+        bits += 1
+    return bits, max(passes, needed(bits))
+
+
 def directions(number: int, dim: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, number, dim])).standard_normal((dim, 64)).astype(np.float32)
 
@@ -72,11 +92,41 @@ def _near(v: np.ndarray, ids: np.ndarray, window: int, threshold: float, new: in
     return np.concatenate([*a, none]).astype(np.int64), np.concatenate([*b, none]).astype(np.int64), np.concatenate([*c, none])
 
 
+def _runs(v: np.ndarray, ids: np.ndarray, run: np.ndarray, window: int, threshold: float, new: int, label: np.ndarray, rows: int = 256, columns: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs further apart than the window of which the later is at or after row ``new``, with equal ``run``; only as many as connect what all such pairs do, which ``label`` (changed here) tells."""
+    start, out = np.searchsorted(run, run), []
+    far = new + np.flatnonzero(start[new:] < np.arange(new, len(ids)) - window)
+    for k in range(0, len(far), rows):
+        later = far[k : k + rows]
+        for lo in range(int(start[later[0]]), int(later[-1]) - window, columns):
+            hi = min(lo + columns, int(later[-1]) - window)
+            i, j = np.nonzero(v[later] @ v[lo:hi].T >= threshold - 1e-5)
+            i, j = later[i], j + lo
+            fits = (j >= start[i]) & (j < i - window)
+            i, j = i[fits], j[fits]
+            while len(i):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                _, one = np.unique(i, return_index=True)
+                cos = np.einsum("ij,ij->i", v[i[one]].astype(np.float64), v[j[one]].astype(np.float64))
+                for a, b, c in zip(i[one].tolist(), j[one].tolist(), cos.tolist()):
+                    if c >= threshold and label[a] != label[b]:
+                        out.append((ids[b], ids[a], c))
+                        label[label == label[a]] = label[b]
+                left = np.ones(len(i), dtype=bool)
+                left[one] = False
+                i, j = i[left], j[left]
+    a, b, c = zip(*out) if out else ((), (), ())
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(c, dtype=np.float64)
+
+
 def similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, per_partition: int = PER_PARTITION, seed: int = SEED) -> DataFrame:
     """Edges a, b: equal vectors (to the least key among them) and verified pairs of all passes."""
     unit = materialise(_unit(vectors, key, column), "unit")
     once = unit.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     once = materialise(once, "once")
+    n_once = once.count()
+    bits, passes = plan(n_once, threshold, passes)
     equal = unit.withColumnRenamed("id", "b").join(once.where("n > 1").select("v", F.col("id").alias("a")), "v").where("a != b").select("a", "b")
 
     def project(batches):
@@ -96,7 +146,7 @@ def similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
     def compare(batches, part=None, edges=True):
         """Windows over sorted rows; keeps the first and last rows of the partition for the windows across its bounds."""
         part = TaskContext.get().partitionId() if part is None else part
-        held, head, seen = None, [], 0
+        held, head, seen, label = None, [], 0, np.zeros(0, dtype=np.int64)
         for b in batches:
             change = np.flatnonzero((np.diff(b.column("pass").to_numpy()) != 0) | (np.diff(b.column("dim").to_numpy()) != 0)) + 1
             for lo, hi in zip([0, *change], [*change, b.num_rows]):
@@ -108,24 +158,27 @@ def similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
                 seen += rows.num_rows
                 same = held is not None and held.column("pass")[0] == rows.column("pass")[0] and held.column("dim")[0] == rows.column("dim")[0]
                 both = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0] if same else rows
-                x, y, c = _near(_matrix(both.column("v"), both.column("dim")[0].as_py()), both.column("id").to_numpy(), window, threshold, held.num_rows if same else 0)
+                v, ids, run, new = _matrix(both.column("v"), both.column("dim")[0].as_py()), both.column("id").to_numpy(), both.column("key").to_numpy() >> (64 - bits), held.num_rows if same else 0
+                label = np.concatenate([label[:new], len(ids) + np.arange(new, len(ids))])
+                x, y, c = (np.concatenate(p) for p in zip(_near(v, ids, window, threshold, new), _runs(v, ids, run, window, threshold, new, label)))
                 n = len(x)
                 if n:
                     none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n), pa.int32()), *none, pa.array(x), pa.nulls(n, pa.binary()), pa.array(y), pa.array(c)], names=[f.split()[0] for f in _ROW.split(", ")])
-                held = both.slice(max(0, both.num_rows - window))
+                keep = max(0, min(both.num_rows - window, int(np.searchsorted(run, run[-1]))))
+                held, label = both.slice(keep), np.unique(label[keep:], return_inverse=True)[1]
         if not edges or held is None:
             return
-        for kind, rows in [(1, r) for r in head] + [(2, held)]:
+        for kind, rows in [(1, r) for r in head] + [(2, held.slice(max(0, held.num_rows - window)))]:
             n = rows.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, kind), pa.int32()), pa.array(np.full(n, part - (kind == 1)), pa.int32()), *(rows.column(c) for c in ("pass", "dim", "key", "id", "v")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())],
                 names=[f.split()[0] for f in _ROW.split(", ")],
             )
 
-    parts = pieces(once.count() * passes, per_partition)
+    parts = pieces(n_once * passes, per_partition)
     lined = once.select("id", "v").mapInArrow(project, "pass int, dim int, key long, id long, v binary")
-    lined = lined.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
+    lined = lined.repartitionByRange(parts, "pass", "dim", F.shiftright("key", 64 - bits)).sortWithinPartitions("pass", "dim", "key", "id")
     found = materialise(lined.mapInArrow(compare, _ROW), "neighbours")
 
     def across(pdf):

@@ -2,7 +2,9 @@
 
 import math
 
-from quernel.llm import jaccard
+import numpy as np
+
+from quernel.llm import embeddings, jaccard
 
 
 def test_jaccard_finds_small_sets(spark):
@@ -27,3 +29,18 @@ def test_jaccard_finds_a_short_text_with_another_last_word(spark):
     texts = [f"Of{k} th{k} on{k} re{k} at{k} ingedre{k}, {end}." for k in range(20) for end in ("the", "ble")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r["doc_id"], r["keep_id"]) for r in jaccard.pairs(docs).collect()} == {(2 * k + 1, 2 * k) for k in range(20)}
+
+
+def test_embeddings_finds_pairs_at_the_threshold_in_a_dense_cluster(spark):
+    """6,000 vectors at a cosine of about 0.88 to each other, so hundreds lie between near ones in every pass."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    middle, around = unit(rng.standard_normal(64)), unit(rng.standard_normal((6000, 64)))
+    v = np.sqrt(0.88) * middle + np.sqrt(0.12) * unit(around - (around @ middle)[:, None] * middle)
+    other = rng.standard_normal((300, 64))
+    other = unit(other - (other * v[:300]).sum(axis=1, keepdims=True) * v[:300])
+    v = np.concatenate([v, 0.953 * v[:300] + np.sqrt(1 - 0.953**2) * other])
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["keep_id"] for r in embeddings.near_duplicates(df, per_partition=20_000).collect()}
+    root = lambda i: found.get(i, i)
+    assert sum(root(i) == root(6000 + i) for i in range(300)) >= 0.95 * 300
