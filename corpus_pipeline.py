@@ -24,11 +24,12 @@ def drop_similar(spark, docs, sf_dir):
 
 
 def cut_repeats(spark, docs, sf_dir):
-    """Texts without passages that an earlier document has; n_chars follows. Texts that had words and have none left go."""
-    out = substring.dedup(docs)
+    """Texts without passages that an earlier document has; n_chars follows. Texts that had words and have none left go; those that had none stay."""
+    words = "text rlike '[^ \\\\t\\\\n\\\\f\\\\r]'"
+    out = substring.dedup(docs.withColumn("__words", F.expr(words)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("text is null or text rlike '[^ \\\\t\\\\n\\\\f\\\\r]'")
+    return out.where(f"text is null or not __words or {words}").drop("__words")
 
 
 def mix_sources(spark, docs, sf_dir):

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from quernel.llm import embeddings, jaccard
 
@@ -44,3 +45,14 @@ def test_embeddings_finds_pairs_at_the_threshold_in_a_dense_cluster(spark):
     found = {r["vec_id"]: r["keep_id"] for r in embeddings.near_duplicates(df, per_partition=20_000).collect()}
     root = lambda i: found.get(i, i)
     assert sum(root(i) == root(6000 + i) for i in range(300)) >= 0.95 * 300
+
+
+def test_pipeline_keeps_texts_that_had_no_words(spark):
+    """Substring dedup drops a text that it emptied, not one that was blank before."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    passage = " ".join(f"Sentence number {i} speaks of the same thing again and again." for i in range(4))
+    rows = [(1, passage, 5), (2, passage, 5), (3, "", 0), (4, " \n\t ", 4), (5, None, None), (6, "One word.", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    out = pipeline.cut_repeats(spark, docs, None)
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: (passage, len(passage)), 3: ("", 0), 4: (" \n\t ", 4), 5: (None, None), 6: ("One word.", 9)}
