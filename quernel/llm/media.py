@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, shared_dir
+from .common import materialise, shared_dir, small
 
 SHARD_BYTES, HEAD, HEAD_RAW = 256 << 20, 1536, 4096
 INDEX = "digest string, shard string, offset long, length long, raw_length long, encoding string"
@@ -198,8 +198,7 @@ def media_columns(rows: DataFrame, key: str = "page_id", payload: str = "html",
     none = F.lit(-(1 << 63))
     repeated = slim.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.coalesce("key", none)).alias("holder")).where("n > 1").select("digest", "holder")
     repeated = materialise(repeated, "repeated")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
+    repeated = small(repeated, repeated.count())
     index = store(held.join(repeated, "digest", "left").select(F.coalesce("key", none).alias("key"), "payload", "digest", "holder"), folder, shard_bytes)
     described = materialise(describe(materialise(index, "ranges")), "described")
     return slim.join(described, "digest", "left").select(F.col("key").alias(key), *(c for c in described.columns))

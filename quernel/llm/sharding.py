@@ -94,12 +94,12 @@ def assign(groups: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET
             where = step.select(F.col("node").alias("bucket"), "up", "slots")
         else:
             below = where.select("bucket", F.col("up").alias("node"), F.col("slots").alias("inner"))
-            where = below.join(small(step, n), "node").select("bucket", "up", F.transform("inner", lambda s: F.get("slots", s)).alias("slots"))
+            where = below.join(small(step, n, wide=4 * shards), "node").select("bucket", "up", F.transform("inner", lambda s: F.get("slots", s)).alias("slots"))
         if up == 1:
             break
         left, n = joined.where("totals is not null").select(F.col("up").alias("node"), "totals"), up
     where = where.select("bucket", "slots")
-    return members.join(small(where, buckets * shards // 4), "bucket").select("key", "bytes", F.get("slots", F.col("slot")).alias("shard"))
+    return members.join(small(where, buckets, wide=4 * shards), "bucket").select("key", "bytes", F.get("slots", F.col("slot")).alias("shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -> DataFrame:

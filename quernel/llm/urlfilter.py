@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import small
 
 PREFIX = 8  # hexadecimal digits of the join key
 
@@ -79,8 +79,7 @@ def decide(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """
     base = urls.select(F.col(key).alias("__key"), F.col(url).alias("__url"))
     table = rules_table(rules)
-    known = table.limit(BROADCAST_ROWS + 1).count()
-    table = F.broadcast(table) if known <= BROADCAST_ROWS else table
+    table = small(table, table.count(), wide=96)
     once = base.where(F.col("__url").isNotNull()).select("__url").distinct()
     exprs = expressions(once, "__url", "__url")
     digest = F.sha2("expr", 256)

@@ -56,3 +56,14 @@ def test_pipeline_keeps_texts_that_had_no_words(spark):
     out = pipeline.cut_repeats(spark, docs, None)
     assert out.columns == docs.columns
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: (passage, len(passage)), 3: ("", 0), 4: (" \n\t ", 4), 5: (None, None), 6: ("One word.", 9)}
+
+
+@pytest.mark.parametrize("number", (1, 2, 300))
+def test_jaccard_on_unlike_documents(spark, number):
+    """No two sets share a signature in any bucket."""
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i}", "s") for i in range(number)], "doc_id long, text string, source string")
+    assert jaccard.pairs(docs).count() == 0
+    assert jaccard.dedup(docs).count() == number
+    pipeline = pytest.importorskip("corpus_pipeline")
+    out = pipeline.drop_similar(spark, docs, None)
+    assert out.columns == docs.columns and out.count() == number
