@@ -16,9 +16,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, small
+from .common import discard, materialise, small
 
 SEED, BLOCK_TOKENS, MAX_REPEAT, STEPS = "mix", 65536, 3.0, 60
 
@@ -98,8 +97,12 @@ def schedule(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, entropy: fl
     at = slim.join(plan, "src").withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "id"))).withColumn("block", F.pmod(_hex(F.col("h")), F.col("n_blocks")))
     blocks = at.groupBy("src", "block", "n_blocks", "source_tokens", "shown").agg(F.sum("n").alias("tokens"))
     epochs = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("shown").cast("int") - 1, F.lit(0)))))
-    order = Window.partitionBy("src", "epoch").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "epoch", "src", "block")), "block")
-    epochs = epochs.withColumn("done", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Prefix sums in two levels, so that no task sorts all blocks of a source: totals of 4,096 ranges of the order, then inside each range.
+    epochs = epochs.withColumn("o", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "src", "block"))).withColumn("range", F.substring("o", 1, 3))
+    until = Window.partitionBy("src", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = epochs.groupBy("src", "epoch", "range").agg(F.sum("tokens").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(until), F.lit(0)))
+    order = Window.partitionBy("src", "epoch", "range").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, 0)
+    epochs = epochs.join(ranges.drop("all"), ["src", "epoch", "range"]).withColumn("done", F.col("earlier") + F.sum("tokens").over(order)).drop("o", "range", "earlier")
     left = F.col("shown") * F.col("source_tokens") - F.col("epoch") * F.col("source_tokens")
     epochs = epochs.withColumn("left", left).where((F.col("source_tokens") == 0) | (F.col("done") - F.col("tokens") < F.col("left")))
     epochs = materialise(epochs, "blocks")
@@ -117,6 +120,7 @@ def schedule(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, entropy: fl
         (F.col("shown") * F.col("source_tokens")).alias("total"), "tokens", "cut",
     )
     out = materialise(out, "schedule")
+    discard(slim, epochs)
     return out, out.count()
 
 
@@ -131,28 +135,34 @@ def _shown(docs: DataFrame, blocks: DataFrame, n: int, seed: str) -> DataFrame:
     return shown.where(F.col("__s.cut").isNull() | (F.col("__inner") <= F.col("__s.cut")))
 
 
+def _place() -> Column:
+    """How far through its source's budget a shown row stands, 0 to 1; 0 for a source without tokens."""
+    where = F.col("__s.before") + _hex(F.col("__inner")) / F.lit(float(1 << 32)) * F.col("__s.tokens")
+    return F.when(F.col("__s.total") > 0, where / F.nullif(F.col("__s.total"), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mixed order: doc_id, source, n_tokens, epoch, block, mix_key; a row for each time a document is shown.
 
     Sorted by mix_key (0 to 1 through every source's budget) sources interleave at
     their weights. A null source is a source of its own; a null or blank text has
-    0 tokens and is shown with its block; a null doc_id hashes as 'null'.
-    Repeated rows stay together. An empty table gives no rows.
+    0 tokens and is shown with its block; a null doc_id hashes as 'null'. A text's
+    length matters only to the sums. Repeated rows stay together. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "source", "text")
     blocks, n = schedule(docs, seed=seed, **options)
     shown = _shown(docs, blocks, n, seed)
-    where = F.col("__s.before") + _hex(F.col("__inner")) / F.lit(float(1 << 32)) * F.col("__s.tokens")
-    key = F.when(F.col("__s.total") > 0, where / F.nullif(F.col("__s.total"), F.lit(0.0))).otherwise(F.lit(0.0))
-    return shown.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.col("__s.epoch").alias("epoch"), F.col("__block").alias("block"), F.round(key, 9).alias("mix_key"))
+    return shown.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.col("__s.epoch").alias("epoch"), F.col("__block").alias("block"), F.round(_place(), 9).alias("mix_key"))
 
 
 def realise(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """Rows of ``docs``, all columns, as often as the mix shows them."""
+    """Rows of ``docs``, all columns, as often as the mix shows them and sorted by the mixed order, so sources interleave and a document's copies stand an epoch apart.
+
+    Written as Parquet, the files in order of their numbers, and the rows of each, are in this order.
+    """
     blocks, n = schedule(docs, seed=seed, **options)
-    out = _shown(docs, blocks, n, seed).select(*docs.columns)
-    assert isinstance(out.schema, T.StructType)
-    return out
+    shown = _shown(docs, blocks, n, seed).withColumn("__place", _place()).withColumn("__row", F.monotonically_increasing_id())
+    return shown.orderBy("__place", "__inner", F.xxhash64("text"), "__row").select(*docs.columns)
 
 
 #: DuckDB twin of ``mix`` with the defaults above.
