@@ -1,26 +1,30 @@
 """Packing: concatenate all documents in one order and cut the stream into fixed windows.
 
-Pass one: ids are written once with a bucket (a range of the order key), and
-the bucket totals are summed to global offsets, so every bucket knows where in
-the stream it begins. Pass two: each bucket is sorted and cut on its own; it
-yields the windows that lie wholly inside. Windows across bucket bounds are
-put together from boundary records, read from the few documents at the edges.
+Pass one: texts go by ranges of the order key, a range a task, and are tokenised
+in order there. A task's stream is written as blocks of ``BLOCK`` windows' ids, each with
+its place in the task's stream and the documents in it. The tasks' totals, a
+number each, are summed to global offsets. Pass two needs no shuffle: every block
+is cut on its own and yields the windows that lie wholly inside. What is before the
+first and after the last of those are boundary records, which only a block's
+first and last ids make, and which are put together by window.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise, pieces, small
+from .common import bounded, materialise, pieces, slices
 
-LENGTH, ROWS = 2048, 4096
+LENGTH, BLOCK, PART_BYTES = 2048, 64, 32 << 20
 SEGMENT = "struct<doc_id:long,doc_start:int,win_start:int,length:int>"
 SCHEMA = f"window_id long, n_tokens int, tokens array<int>, segments array<{SEGMENT}>"
-PIECE = "window_id long, win_start int, doc_id long, doc_start int, piece array<int>"
+STREAM = "bucket int, begin long, n int, head binary, body binary, tail binary, doc_ids array<long>, doc_starts array<int>, sizes array<int>"
+PIECE = f"window_id long, win_start int, tokens array<int>, segments array<{SEGMENT}>"
 
 
 def _cut(doc_ids: pa.Array, starts: np.ndarray, stream: np.ndarray, begin: int, doc_starts: np.ndarray, first: int, last: int, length: int) -> pa.RecordBatch:
@@ -51,121 +55,131 @@ def _cut(doc_ids: pa.Array, starts: np.ndarray, stream: np.ndarray, begin: int,
     )
 
 
-def _with_end(packed: list, width: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the documents with the end mark after each, and how many each has."""
-    mark = np.array([end], dtype=f"<u{width}").tobytes()
-    sizes = np.array([len(p) // width + 1 for p in packed], dtype=np.int64)
-    return np.frombuffer(mark.join([*packed, b""]), dtype=f"<u{width}"), sizes
-
-
-def pack(docs: DataFrame, length: int = LENGTH, vocab: str = tokens.VOCAB, rows_per_bucket: int = ROWS) -> DataFrame:
-    """Windows of ``length`` ids over all documents in order of doc_id, each document followed by an end mark.
+def _blocks(batches, enc: tokens.Encoder, bucket: int, size: int, edge: int):
+    """One task's documents in order (doc_id, text) as blocks of ``size`` ids; the first and last ``edge`` ids of a block are columns of their own."""
+    mark = np.array([enc.end], dtype=f"<u{enc.width}").tobytes()
+    held, ids, starts, sizes, n, begin = [], [], [], [], 0, 0  # of the block that is being filled
+
+    def block():
+        raw, w = b"".join(held), enc.width
+        first = min(n, edge) * w
+        last = max(first, len(raw) - edge * w)
+        fields = (bucket, begin, n, raw[:first], raw[first:last], raw[last:], ids, starts, sizes)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(fields, kinds)], names=[f.split()[0] for f in STREAM.split(", ")])
+
+    for b in (part for whole in batches for part in slices(whole, "text")):
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            packed = enc.pack(text) + mark
+            at, total = 0, len(packed) // enc.width
+            while at < total:
+                take = min(total - at, size - n)
+                held.append(packed[at * enc.width : (at + take) * enc.width])
+                ids.append(doc_id)
+                starts.append(at)
+                sizes.append(take)
+                at, n = at + take, n + take
+                if n == size:
+                    yield block()
+                    begin += n
+                    held, ids, starts, sizes, n = [], [], [], [], 0
+    if n:
+        yield block()
+
+
+def _rows(batches):
+    """Of each block: bucket, begin, n, its head, body and tail, and doc_ids, doc_starts and sizes as arrays."""
+    for b in batches:
+        lists = [b.column(c) for c in ("doc_ids", "doc_starts", "sizes")]
+        for i, (bucket, begin, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("bucket", "begin", "n")))):
+            parts = [b.column(c)[i].as_buffer() if c in b.schema.names else b"" for c in ("head", "body", "tail")]
+            ids, starts, sizes = (x[i].values for x in lists)
+            yield bucket, begin, n, parts, ids, starts.to_numpy().astype(np.int64), sizes.to_numpy().astype(np.int64)
+
+
+def pack(docs: DataFrame, length: int = LENGTH, vocab: str = tokens.VOCAB, order: tuple = (), part_bytes: int = PART_BYTES, block: int = BLOCK) -> DataFrame:
+    """Windows of ``length`` ids over all documents in order of ``order`` (column expressions; by default doc_id), each document followed by an end mark.
 
     Rows: window_id from 0, n_tokens, tokens, and segments (doc_id, doc_start:
     the document's first id here, win_start, length) in order. All windows are
     full but the last. A null text adds nothing, an empty one its end mark. A
-    null doc_id comes first; rows of one doc_id follow in order of a hash of their ids, so
-    repeated rows stand side by side. No text at all gives no row. Other
-    columns are not read.
+    null key comes first; rows of one key follow in order of a hash of their texts, so
+    repeated rows stand side by side, and however many they are they go to
+    several tasks. A text longer than a block is cut into several blocks. No
+    text at all gives no row. Other columns are not read. The driver and each task hold one number for each
+    ``part_bytes`` of text.
     """
     spark = docs.sparkSession
+    bounded(spark)
     enc = tokens.encoder(vocab)
-    width, end = enc.width, enc.end
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_rows = keyed.select("doc_id").count()
-    n_buckets = pieces(n_rows, rows_per_bucket)
-    shares = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = (keyed.agg(F.percentile_approx("doc_id", shares, 100 * n_buckets)).first()[0] or []) if shares else []
-    bounds = np.unique(np.array(bounds, dtype=np.int64))
-    n_buckets = len(bounds) + 1
-    shared_bounds = spark.sparkContext.broadcast(bounds)
-
-    def bucketed(batches):
-        at = shared_bounds.value
-        for b in batches:
-            key = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            bucket = pa.array(np.searchsorted(at, key, side="right"), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, bucket], names=[*b.schema.names, "bucket"])
-
-    ids = tokens.with_ids(keyed.where(F.col("text").isNotNull()), "text", vocab)
-    ids = ids.mapInArrow(bucketed, "doc_id long, ids binary, n_tokens long, bucket int").withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("ids"))
-    ids = materialise(ids, "stream")
-
-    totals = np.zeros(n_buckets, dtype=np.int64)
-    for r in ids.groupBy("bucket").agg(F.sum(F.col("n_tokens") + 1).alias("n")).toLocalIterator():
-        totals[r["bucket"]] = r["n"]
-    base = np.concatenate([[0], np.cumsum(totals)])
-    shared_base = spark.sparkContext.broadcast(base)
+    width = enc.width
+    by = list(order) or [F.col("doc_id").cast("long")]
+    names = [f"key_{i}" for i in range(len(by))]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(n) for c, n in zip(by, names))).where("text is not null")
+    total = keyed.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = pieces(total, part_bytes, 1)
+    key = [*names, "h", "row"]
+    placed = keyed.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    if parts > 1:
+        placed = placed.repartitionByRange(parts, *key)
+    else:
+        placed = placed.coalesce(1)
+    placed = placed.sortWithinPartitions(*key).select("doc_id", "text")
+    stream = materialise(placed.mapInArrow(lambda bs: _blocks(bs, tokens.encoder(vocab), TaskContext.get().partitionId(), block * length, length - 1), STREAM), "stream")
+
+    sums = stream.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(parts, dtype=np.int64)
+    totals[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    base = spark.sparkContext.broadcast(np.cumsum(totals) - totals)
 
     def whole(batches):
-        """Sorted buckets in, windows inside one bucket out."""
-        base = shared_base.value
-        bucket, held, at = -1, None, 0
-
-        def windows(held, at, last):
-            """Cut what is full; keep the rest."""
-            doc, starts, stream, skipped = held
-            first = -(-at // length)
-            done = min((at + len(stream)) // length, last)
-            if done > first:
-                yield _cut(doc, starts, stream, at, skipped, first, done, length)
-                keep = done * length
-                one = np.searchsorted(starts, keep, side="right") - 1
-                starts, skipped, stream, doc, at = starts[one:].copy(), skipped[one:].copy(), stream[keep - at :], doc.slice(one), keep
-                skipped[0] += keep - starts[0]
-                starts[0] = keep
-            return (doc, starts, stream, skipped), at
-
-        for b in batches:
-            kinds = b.column("bucket").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]])
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if lo == hi:
-                    continue
-                part = b.slice(lo, hi - lo)
-                stream, sizes = _with_end(part.column("ids").to_pylist(), width, end)
-                if kinds[lo] != bucket:
-                    bucket, held, at = int(kinds[lo]), None, int(base[kinds[lo]])
-                begin = at + (len(held[2]) if held else 0)
-                starts = begin + np.cumsum(sizes) - sizes
-                new = (part.column("doc_id"), starts, stream, np.zeros(len(starts), dtype=np.int64))
-                held = new if held is None else (pa.concat_arrays([held[0], new[0]]), *(np.concatenate(x) for x in zip(held[1:], new[1:])))
-                held, at = yield from windows(held, at, int(base[bucket + 1]) // length)
-
-    inside = ids.select("doc_id", "ids", "bucket", "h", "row").repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "h", "row").select("doc_id", "ids", "bucket").mapInArrow(whole, SCHEMA)
-
-    # Edges: of the lengths alone, a few documents at each end of each bucket.
-    table = spark.createDataFrame([(i, int(base[i]), int(base[i + 1])) for i in range(n_buckets)], "bucket int, low long, high long")
-    in_order = Window.partitionBy("bucket").orderBy("doc_id", "h", "row").rowsBetween(Window.unboundedPreceding, 0)
-    slim = ids.select("bucket", "doc_id", "h", "row", "n_tokens")
-    placed = slim.withColumn("after", F.sum(F.col("n_tokens") + 1).over(in_order)).join(small(table, n_buckets), "bucket")
-    stop, start = F.col("low") + F.col("after"), F.col("low") + F.col("after") - F.col("n_tokens") - 1
-    head, tail = F.ceil(F.col("low") / length) * length, F.floor(F.col("high") / length) * length
-    edge = placed.withColumn("start", start).where((start < head) | (stop > tail) | (head > tail)).select("row", "start", F.least(head, F.col("high")).alias("head"), F.greatest(tail, F.col("low")).alias("tail"))
-    edge = materialise(edge, "edges")
+        for bucket, begin, n, parts, ids, starts, sizes in _rows(batches):
+            at = int(base.value[bucket]) + begin
+            first, last = -(-at // length), (at + n) // length
+            if last > first:
+                yield _cut(ids, at + np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), dtype=f"<u{width}"), at, starts, first, last, length)
 
     def records(batches):
-        for b in batches:
-            rows = {n: [] for n in ("window_id", "win_start", "doc_id", "doc_start", "piece")}
-            for doc, raw, begin, head, tail in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "start", "head", "tail"))):
-                stream, _ = _with_end([raw], width, end)
-                stop = begin + len(stream)
-                spans = [(begin, stop)] if head > tail else [(begin, min(stop, head)), (max(begin, tail), stop)]
-                for lo, hi in spans:
-                    while lo < hi:
-                        to = min(hi, (lo // length + 1) * length)
-                        for name, value in zip(rows, (lo // length, lo % length, doc, lo - begin, stream[lo - begin : to - begin].astype(np.int32))):
-                            rows[name].append(value)
-                        lo = to
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
-
-    cut = ids.select("row", "doc_id", "ids").join(small(edge, edge.count()), "row").select("doc_id", "ids", "start", "head", "tail").mapInArrow(records, PIECE)
-    parts = F.array_sort(F.collect_list(F.struct("win_start", "doc_id", "doc_start", "piece")))
-    across = cut.groupBy("window_id").agg(parts.alias("parts")).select(
+        for bucket, begin, n, parts, ids, starts, sizes in _rows(batches):
+            at = int(base.value[bucket]) + begin
+            first, last = -(-at // length), (at + n) // length
+            spans = [(at, at + n)] if first > last else [(at, first * length), (last * length, at + n)]
+            begins = at + np.cumsum(sizes) - sizes
+            head, tail = (np.frombuffer(p, dtype=f"<u{width}").astype(np.int32) for p in (parts[0], parts[2]))
+            short = len(head) + len(tail) == n
+            for lo, hi in spans:
+                if lo == hi:
+                    continue
+                if short:
+                    piece = np.concatenate([head, tail])[lo - at : hi - at]
+                else:
+                    piece = head[: hi - at] if lo == at else tail[len(tail) - (hi - lo) :]
+                inside = np.flatnonzero((begins < hi) & (begins + sizes > lo))
+                a, z = np.maximum(begins[inside], lo), np.minimum(begins[inside] + sizes[inside], hi)
+                segments = pa.StructArray.from_arrays(
+                    [ids.take(pa.array(inside)), pa.array(starts[inside] + a - begins[inside], pa.int32()), pa.array(a % length, pa.int32()), pa.array(z - a, pa.int32())],
+                    names=["doc_id", "doc_start", "win_start", "length"],
+                )
+                one = lambda values, k: pa.ListArray.from_arrays(pa.array([0, k], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lo // length], pa.int64()), pa.array([lo % length], pa.int32()), one(pa.array(piece), len(piece)), one(segments, len(inside))],
+                    names=["window_id", "win_start", "tokens", "segments"],
+                )
+
+    inside = stream.mapInArrow(whole, SCHEMA)
+    cut = stream.drop("body").mapInArrow(records, PIECE)
+    pieces_of = F.array_sort(F.collect_list(F.struct("win_start", "tokens", "segments")))
+    # A document that a block's end cuts inside a window is one segment again.
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.struct(last(acc)["doc_id"].alias("doc_id"), last(acc)["doc_start"].alias("doc_start"), last(acc)["win_start"].alias("win_start"), (last(acc)["length"] + s["length"]).alias("length"))
+    joined = F.aggregate(
+        F.flatten(F.transform("parts", lambda p: p["segments"])), F.array().cast(f"array<{SEGMENT}>"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["doc_start"] > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer(acc, s)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    across = cut.groupBy("window_id").agg(pieces_of.alias("parts")).select(
         "window_id",
-        F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["piece"])).alias("n_tokens"),
-        F.flatten(F.transform("parts", lambda p: p["piece"])).alias("tokens"),
-        F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["doc_start"].alias("doc_start"), p["win_start"].alias("win_start"), F.size(p["piece"]).alias("length"))).alias("segments"),
+        F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["tokens"])).alias("n_tokens"),
+        F.flatten(F.transform("parts", lambda p: p["tokens"])).alias("tokens"),
+        joined.alias("segments"),
     )
     return inside.unionByName(across)

@@ -112,7 +112,7 @@ def test_packing(docs, empty):
     from quernel.llm import tokens
 
     enc = tokens.encoder(tokens.VOCAB)
-    rows = packing.pack(docs, length=256, rows_per_bucket=3).orderBy("window_id").collect()
+    rows = packing.pack(docs, length=256, part_bytes=100_000, block=3).orderBy("window_id").collect()
     stream = [i for r in rows for i in r["tokens"]]
     order = sorted(((-1 if d is None else d, enc.pack(t)) for d, t, *_ in ROWS if t is not None))
     import numpy as np
