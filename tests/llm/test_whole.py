@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from quernel.llm import embeddings, jaccard
+from quernel.llm import embeddings, jaccard, substring
 
 
 def test_jaccard_finds_small_sets(spark):
@@ -67,3 +67,30 @@ def test_jaccard_on_unlike_documents(spark, number):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.drop_similar(spark, docs, None)
     assert out.columns == docs.columns and out.count() == number
+
+
+def test_substring_finds_passages_at_any_place_in_a_sentence(spark):
+    """51 words without a stop, behind and before 0 to 20 words without one; short stopless lines; and one word over and over."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    rows, passages = [], []
+    for p in range(20):
+        passage = " ".join(word() for _ in range(51))
+        for k in range(21):
+            rows.append((len(rows), " ".join([*(word() for _ in range(k)), passage, *(word() for _ in range((7 * k) % 21))])))
+        passages.append(passage)
+    same, shouts = len(rows), "".join(f"{word()}!! " for _ in range(60))
+    rows += [(same, "Osas " * 900), (same + 1, word() + " osas" * 900), (same + 2, word() + " " + shouts), (same + 3, shouts + word())]
+    out = {r["doc_id"]: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    later = [i for i in range(same) if i % 21]
+    assert sum(out[i]["n_removed"] > 0 for i in later) >= 0.99 * len(later)
+    assert all(out[i]["text"] == rows[i][1] for i in range(same) if not i % 21) and out[same + 2]["n_removed"] == 0
+    assert len(out[same + 1]["text"].split()) < 40 and out[same + 3]["n_removed"] >= 55
+
+
+def test_substring_leaves_short_repeats(spark):
+    """A shared heading of 14 words is no passage."""
+    rows = [(i, f"One heading that every one of these texts has, of fourteen words in all.\nAn own text number {i} with the words a{i} b{i} c{i} d{i} e{i} and f{i}.") for i in range(40)]
+    assert {(r["doc_id"], r["text"]) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(rows)
