@@ -5,6 +5,12 @@ the inner product of their factors. The pairwise part learns that terms are
 worse together (an insult with the mention of a group) than each alone. Terms
 are 64-bit hashes of a document's distinct words and of the words' first bytes,
 so inflected and coined forms share terms with their stems.
+
+Fitting has two steps. The first takes terms that are more or less frequent in
+toxic rows than in all. Where its scores don't tell all held-out rows apart, the second goes on
+from there with the most frequent terms beside, whatever their evidence, so words that
+are harmless alone and toxic together, or the reverse, get factors too; of both
+models the one of greater F1 on the held-out rows is taken.
 """
 
 from __future__ import annotations
@@ -17,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialise, slices, small
+from .common import bounded, discard, materialise, slices, small
 
-PREFIXES, FACTORS, MIN_ROWS, EPOCHS, EVIDENCE, MAX_TRAIN_ROWS = (3, 4, 5), 4, 3, 12, 4.0, 20_000
+PREFIXES, FACTORS, MIN_ROWS, EPOCHS, EVIDENCE, MAX_TRAIN_ROWS, WIDE = (3, 4, 5), 4, 3, 12, 4.0, 20_000, 10_000
 _SALTS = textvec.mix(np.arange(11, 31, dtype=np.uint64))
 
 
@@ -55,15 +61,17 @@ def terms(column) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Sorted terms with weight and factors, bias, and the score from which a text counts as toxic."""
 
-    def __init__(self, known, weight, factors, bias, cut):
-        self.known, self.weight, self.factors, self.bias, self.cut = known, weight, factors, bias, cut
-        self.seen = np.zeros(1 << 24, dtype=bool)
-        self.seen[known >> np.uint64(40)] = True
+    def __init__(self, known, weight, factors, bias, cut, f1=1.0):
+        self.known, self.weight, self.factors, self.bias, self.cut, self.f1 = known, weight, factors, bias, cut, f1
+        self.seen = None  # first bits of the known terms; made where rows are scored
 
     def score(self, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = len(bounds) - 1
         if not len(self.known) or not len(found):
             return np.full(n, self.bias)
+        if self.seen is None:
+            self.seen = np.zeros(1 << 24, dtype=bool)
+            self.seen[self.known >> np.uint64(40)] = True
         maybe = np.flatnonzero(self.seen[found >> np.uint64(40)])
         at = np.minimum(np.searchsorted(self.known, found[maybe]), len(self.known) - 1)
         hit = self.known[at] == found[maybe]
@@ -103,18 +111,36 @@ def _places(rows: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, least: int = MIN_ROWS, evidence: float = EVIDENCE, seed: int = 7, held: np.ndarray | None = None, known: np.ndarray | None = None) -> Model:
-    """AdaGrad on the logistic loss, batches of 64; of the rows, ``held`` (a fifth) chooses the cut and takes no part in fitting.
+def _frequent(rows: list[np.ndarray], fit: np.ndarray, least: int, wide: int) -> np.ndarray:
+    """The ``wide`` most frequent terms of the fitted rows (of at least ``least``), equally frequent ones by value."""
+    values, n = np.unique(np.concatenate([*(rows[i] for i in fit), np.zeros(0, dtype=np.uint64)]), return_counts=True)
+    values, n = values[n >= least], n[n >= least]
+    return np.sort(values[np.argsort(-n, kind="stable")[:wide]])
+
+
+def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, least: int = MIN_ROWS, evidence: float = EVIDENCE, wide: int = WIDE, seed: int = 7, held: np.ndarray | None = None) -> Model:
+    """Both steps; of the rows, ``held`` (a fifth) chooses the cut and takes no part in fitting.
 
-    Only ``known`` terms are used, by default those that the rows give evidence for. Rows should come in a fixed
-    order; the same rows give the same model. Rows of one class only give a
-    model that calls nothing toxic (or, if all are toxic, everything).
+    Rows should come in a fixed order; the same rows give the same model.
     """
     y = np.asarray(toxic, dtype=np.float64)
+    held = np.isin(np.arange(len(y)), np.random.Generator(np.random.PCG64(seed)).permutation(len(y))[: len(y) // 5]) if held is None else np.asarray(held, dtype=bool)
+    fit = np.flatnonzero(~held)
+    known = _known(rows, y, fit, least, evidence)
+    model = descend(rows, y, held, known, factors, epochs, seed)
+    if model.f1 < 1:
+        more = descend(rows, y, held, np.union1d(known, _frequent(rows, fit, least, wide)), factors, epochs, seed, model)
+        model = more if more.f1 > model.f1 else model
+    return model
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, known: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, start: Model | None = None) -> Model:
+    """AdaGrad on the logistic loss, batches of 64, over ``known`` terms, from ``start`` on; held-out rows choose the cut.
+
+    Rows of one class only give a model that calls nothing toxic (or, if all are toxic, everything).
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
-    held = rng.permutation(len(y))[: len(y) // 5] if held is None else np.flatnonzero(held)
-    fit = np.setdiff1d(np.arange(len(y)), held)
-    known = _known(rows, y, fit, least, evidence) if known is None else known
+    held, fit = np.flatnonzero(held), np.flatnonzero(~held)
     index = _places(rows, known)
     m = len(known)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
@@ -122,6 +148,9 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
     if len(y) == 0 or y.min() == y.max():
         return Model(known, w, v * 0, 5.0 if len(y) and y[0] else -5.0, 0.0)
     b = float(np.log(y[fit].mean() / (1 - y[fit].mean()))) if 0 < y[fit].mean() < 1 else 0.0
+    if start is not None and len(start.known):
+        at = np.searchsorted(known, start.known)
+        w[at], v[at], b = start.weight, start.factors, start.bias
     for epoch in range(epochs):
         rate = 0.15 / (1 + 0.15 * epoch)
         order = rng.permutation(fit)
@@ -151,6 +180,9 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
     none = [np.zeros(0, dtype=np.uint64)]  # held may be empty
     z = model.score(np.concatenate([*(rows[i] for i in held), *none]), np.cumsum([0, *(len(rows[i]) for i in held)]))
     model.cut = best_cut(z, y[held])
+    said = z >= model.cut
+    if len(held) and 0 < y[held].sum() < len(held):
+        model.f1 = float(2 * (said * y[held]).sum() / (said.sum() + y[held].sum()))
     return model
 
 
@@ -180,19 +212,21 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, **options) -> Model:
     """Fit on at most ``max_train_rows`` labelled documents: those whose doc_id hashes lowest, so the same at any partitioning.
 
-    The sample is the bound; it is joined to the documents by doc_id and hashed into
+    The sample is the bound; it is joined to the documents by doc_id (of several texts of one doc_id the
+    greatest counts) and hashed into
     terms where the documents are. Terms are counted over all tasks, and only
-    those that there is evidence for go to the one task that fits.
+    those of the step go to the one task that fits.
     """
     spark = docs.sparkSession
-    least, evidence = options.get("least", MIN_ROWS), options.get("evidence", EVIDENCE)
+    least, evidence, wide = options.get("least", MIN_ROWS), options.get("evidence", EVIDENCE), options.get("wide", WIDE)
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id").cast("long")), F.lit(5)) == 0)
     chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows), "chosen")
     text = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(small(chosen, max_train_rows), "doc_id")
+    text = text.groupBy("doc_id", "toxic", "held").agg(F.max("text").alias("text"))
 
     def hashed(batches):
-        for b in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
+        for b in (part for whole in batches for part in slices(whole, "text")):
             found, bounds = terms(b.column("text"))
             packed = pa.array([found[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "held")), packed], names=["doc_id", "toxic", "held", "terms"])
@@ -210,10 +244,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
 
     fitted_on = sample.where("not held")
     n_rows, share = fitted_on.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
-    counted = fitted_on.select("toxic", "terms").mapInArrow(tally, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = fitted_on.select("toxic", "terms").mapInArrow(tally, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= least)
+    counted = materialise(counted, "terms")
     column = lambda x: x if not isinstance(x, float) else F.lit(x)
     good = _evident(F.col("n"), F.col("toxic"), float(share), n_rows, least, evidence, lambda a, b: F.greatest(a, column(b)), F.sqrt, F.abs)
-    known = np.sort(counted.where(good).select("term").toArrow().column("term").to_numpy().view(np.uint64))
+    sorted_terms = lambda df: np.sort(df.select("term").toArrow().column("term").to_numpy().view(np.uint64))
+    model = _step(sample, sorted_terms(counted.where(good)), None, options)
+    if model is not None and model.f1 < 1:
+        frequent = sorted_terms(counted.orderBy(F.col("n").desc(), F.expr("shiftright(term, 63)").desc(), "term").limit(wide))
+        more = _step(sample, np.union1d(model.known, frequent), model, options)
+        model = more if more.f1 > model.f1 else model
+    discard(chosen, sample, counted)
+    return model or Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros((0, 1)), -5.0, 0.0)
+
+
+def _step(sample: DataFrame, known: np.ndarray, start: Model | None, options: dict) -> Model | None:
+    """A model of the sample (doc_id, toxic, held, terms) over ``known`` terms, fitted in one task; None if there are no rows."""
 
     def narrowed(batches):
         for b in (part for whole in batches for part in slices(whole, "terms", 4 << 20)):
@@ -225,22 +271,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
             packed = pa.array([kept[a:z].tobytes() for a, z in zip(before[:-1], before[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "held")), packed], names=["doc_id", "toxic", "held", "terms"])
 
-    sample = sample.mapInArrow(narrowed, "doc_id long, toxic int, held boolean, terms binary")
-
-    def fitted(rows):
-        rows = rows.sort_values(["doc_id", "terms"], kind="stable")
-        m = train([np.frombuffer(t, dtype=np.uint64) for t in rows["terms"]], rows["toxic"].to_numpy(), held=rows["held"].to_numpy(dtype=bool), known=known, **options)
-        import pandas as pd
+    chosen = {k: v for k, v in options.items() if k in ("factors", "epochs", "seed")}
 
+    def fitted(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
+        split = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in rows.column("terms")]
+        m = descend(split, rows.column("toxic").to_numpy().astype(np.float64), rows.column("held").to_numpy(), known, start=start, **chosen)
         used = np.flatnonzero((np.abs(m.weight) > 1e-6) | (np.abs(m.factors).max(axis=1, initial=0) > 1e-6))
-        blob = [m.known[used].tobytes(), m.weight[used].astype("<f4").tobytes(), m.factors[used].astype("<f4").tobytes()]
-        return pd.DataFrame({"known": [blob[0]], "weight": [blob[1]], "factors": [blob[2]], "k": [m.factors.shape[1]], "bias": [m.bias], "cut": [m.cut]})
+        blobs = m.known[used].tobytes(), m.weight[used].astype("<f4").tobytes(), m.factors[used].astype("<f4").tobytes()
+        return pa.table({**{n: pa.array([b], pa.binary()) for n, b in zip(("known", "weight", "factors"), blobs)}, "k": pa.array([m.factors.shape[1]], pa.int32()), "bias": [float(m.bias)], "cut": [float(m.cut)], "f1": [float(m.f1)]})
 
-    got = sample.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: fitted(pdf), "known binary, weight binary, factors binary, k int, bias double, cut double").first()
+    rows = sample.mapInArrow(narrowed, "doc_id long, toxic int, held boolean, terms binary")
+    got = rows.groupBy(F.lit(1).alias("one")).applyInArrow(lambda t: fitted(t), "known binary, weight binary, factors binary, k int, bias double, cut double, f1 double").first()
     if got is None:
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros((0, 1)), -5.0, 0.0)
+        return None
     f4 = lambda b: np.frombuffer(bytes(b), dtype="<f4").astype(np.float64)
-    return Model(np.frombuffer(bytes(got["known"]), dtype=np.uint64), f4(got["weight"]), f4(got["factors"]).reshape(-1, got["k"]), got["bias"], got["cut"])
+    return Model(np.frombuffer(bytes(got["known"]), dtype=np.uint64), f4(got["weight"]), f4(got["factors"]).reshape(-1, got["k"]), got["bias"], got["cut"], got["f1"])
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
@@ -262,6 +308,7 @@ def _margin(docs: DataFrame, model: Model):
     Only that one column goes to Python and only a number comes back; the rows'
     other columns stay in the JVM.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.known, model.weight, model.factors, model.bias, model.cut))
 
     @F.arrow_udf("double")

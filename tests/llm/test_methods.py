@@ -110,21 +110,47 @@ def test_embedding_recall_against_brute_force(spark):
     assert len(near) > 40 and sum(root(i) == root(j) for i, j in near) >= 0.9 * len(near)
 
 
-def test_machine_learns_pairs():
-    """Labels that only the pair of two words decides: a sum of single weights can't."""
-    rng = random.Random(2)
+def _pair_model(share, label, n=3000, seed=2):
+    """Accuracy on held-out rows of a model of texts with two words, each in ``share`` of the rows, that ``label`` decides by."""
+    rng = random.Random(seed)
     rows, y = [], []
-    for _ in range(3000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        words = [f"n{rng.randint(0, 30)}" for _ in range(6)] + ["grok"] * a + ["blim"] * b
-        rows.append(" ".join(words))
-        y.append(float(a and b))
+    for _ in range(n):
+        a, b = rng.random() < share, rng.random() < share
+        rows.append(" ".join([f"n{rng.randint(0, 30)}" for _ in range(6)] + ["grok"] * a + ["blim"] * b))
+        y.append(float(label(a, b)))
     found, bounds = toxicity.terms(pa.array(rows))
     split = [found[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
-    model = toxicity.train(split[:2400], np.array(y[:2400]))
-    z = model.score(np.concatenate(split[2400:]), np.cumsum([0, *(len(s) for s in split[2400:])]))
-    assert ((z >= model.cut) == np.array(y[2400:], dtype=bool)).mean() > 0.97
-    assert np.abs(model.factors).max() > 0.1
+    fit = n * 4 // 5
+    model = toxicity.train(split[:fit], np.array(y[:fit]))
+    z = model.score(np.concatenate(split[fit:]), np.cumsum([0, *(len(s) for s in split[fit:])]))
+    return ((z >= model.cut) == np.array(y[fit:], dtype=bool)).mean(), model
+
+
+def test_machine_learns_pairs():
+    """Labels that only the pair of two words decides: a sum of single weights can't. In the second case neither word tells anything alone."""
+    right, model = _pair_model(0.5, lambda a, b: a and b)
+    assert right > 0.97 and np.abs(model.factors).max() > 0.1
+    right, model = _pair_model(0.5, lambda a, b: a != b)
+    assert right > 0.97 and np.abs(model.factors).max() > 0.1
+
+
+def test_machine_learns_rare_pairs():
+    """An insult and a mention, each in 12 % of the rows and harmless alone."""
+    right, model = _pair_model(0.12, lambda a, b: a and b, n=8000)
+    assert right > 0.995 and np.abs(model.factors).max() > 0.1
+
+
+def test_toxicity_samples_no_more_than_its_bound(spark):
+    """Repeated doc_ids don't multiply the sample; pairs of words that are harmless alone are learned through the distributed fit as well."""
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([f"n{rng.randint(0, 30)}" for _ in range(6)] + ["Grok"] * a + ["blim"] * b)))
+        labels.append((i, 0, int(a != b)))
+    docs = spark.createDataFrame(rows + rows[:300] * 3, "doc_id long, text string")
+    lab = spark.createDataFrame(labels[:1500], "doc_id long, quality int, toxic int")
+    said = {r["doc_id"]: r["said"] for r in toxicity.score(docs, lab, max_train_rows=1200).withColumnRenamed("toxic", "said").collect()}
+    assert sum(said[i] == bool(t) for i, _, t in labels[1500:]) > 0.95 * 500
 
 
 def test_toxicity_on_held_out_labels(spark):
