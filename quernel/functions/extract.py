@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 UPPER = "A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬĐÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴ"
 _LOWER = UPPER.lower()
 _CODE, _COLON, _REST = r"(\d+/\d{4}/[A-Z-]+)", r"\s*:?\s*", r"[^\n]*?"
@@ -133,10 +135,13 @@ def key_sections(text: Column) -> Column:
 
     def of(kind: str, heads: str) -> Column:
         pattern = rf"(?ius)(?:{heads}).*?(?=\n\n|\n\p{{L}})"
-        found = _all(text, f"({pattern})")
-        between = F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001")
-        place = lambda i: F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, s: a + F.length(s))
-        return F.transform(found, lambda s, i: F.struct(place(i).alias("start_position"), (place(i) + F.length(s)).alias("end_position"), F.lit(kind).alias("type"), F.trim(s).alias("content"), F.length(s).alias("length")))
+
+        def spans(z: Column) -> Column:
+            found, between = z["found"], z["between"]
+            place = lambda i: F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, s: a + F.length(s))
+            return F.transform(found, lambda s, i: F.struct(place(i).alias("start_position"), (place(i) + F.length(s)).alias("end_position"), F.lit(kind).alias("type"), F.trim(s).alias("content"), F.length(s).alias("length")))
+
+        return let(F.struct(_all(text, f"({pattern})").alias("found"), F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001").alias("between")), spans)
 
     return F.array_sort(F.concat(*(of(k, h) for k, h in kinds.items())))
 
@@ -172,9 +177,14 @@ STOP_WORDS = ("các", "cho", "có", "của", "là", "một", "những", "này",
 def keywords(text: Column, most: int = 50, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """X-30: words of three letters or more that aren't stop words, most frequent first, then by name."""
     found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{3,})"), 1), lambda w: ~w.isin(*stop))
-    once = F.array_distinct(found)
-    ranked = F.array_sort(F.transform(once, lambda w: F.struct((-F.size(F.filter(found, lambda x: x == w))).alias("n"), w.alias("w"))))
-    return F.slice(F.transform(ranked, lambda r: r["w"]), 1, most)
+
+    def ranked(words: Column) -> Column:
+        """Of sorted words: where each run of equal ones begins, and from that how long it is."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        runs = let(starts, lambda at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(words))).alias("n"), F.get(words, i).alias("w"))))
+        return F.when(F.size(words) > 0, F.slice(F.transform(F.array_sort(runs), lambda r: r["w"]), 1, most)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.array_sort(found), ranked)
 
 
 def parse_date(text: Column) -> Column:

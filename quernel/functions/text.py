@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a column that stands for ``value``, which is so computed once, however often ``body`` names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _DIACRITICS = "àáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ"
 
 

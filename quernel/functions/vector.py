@@ -30,8 +30,9 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """V-13: a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    from .text import let
+
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -57,8 +58,9 @@ def chebyshev(a: Column, b: Column) -> Column:
 
 
 def _centred(v: Column) -> Column:
-    m = F.try_divide(total(v), F.size(v).cast("double"))
-    return F.transform(v, lambda x: x - m)
+    from .text import let
+
+    return let(F.try_divide(total(v), F.size(v).cast("double")), lambda m: F.transform(v, lambda x: x - m))
 
 
 def pearson(a: Column, b: Column) -> Column:

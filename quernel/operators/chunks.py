@@ -18,15 +18,15 @@ HEADERS = (
 
 
 def _rows(docs: DataFrame, key: str, chunks: Column, kind: str = "text") -> DataFrame:
-    out = docs.select(key, F.posexplode(chunks).alias("chunk_index", "content"))
+    # An inner explode would compute the chunks twice, the first time to see whether there are any.
+    out = docs.select(key, F.posexplode_outer(chunks).alias("chunk_index", "content")).where("content is not null")
     return out.select(key, "chunk_index", "content", F.length("content").alias("chunk_size"), F.lit(kind).alias("content_type"))
 
 
 def sentence_chunks(docs: DataFrame, key: str = "doc_id", body: str = "text", sentences: int = 3, overlap: int = 0, min_size: int = 50) -> DataFrame:
     """X-06, N-02: every ``sentences`` sentences, the last ``overlap`` of one beginning the next; shorter than ``min_size`` dropped."""
-    s = T.sentences(F.col(body))
     step = max(1, sentences - overlap)
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice(s, i + 1, sentences), " "))
+    groups = T.let(T.sentences(F.col(body)), lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice(s, i + 1, sentences), " ")))
     return _rows(docs, key, F.filter(groups, lambda c: F.length(c) >= min_size))
 
 
@@ -99,8 +99,9 @@ def chunk(docs: DataFrame, how: str, key: str = "doc_id", body: str = "text", **
 
 
 def scored(chunks: DataFrame) -> DataFrame:
-    s = T.sentences(F.col("content"))
-    return chunks.select("*", F.size(T.split_words(F.col("content"))).alias("word_count"), F.size(s).alias("sentence_count"), T.coherence(s).alias("coherence_score"), T.completeness(F.col("content"), s).alias("completeness_score"))
+    s = F.col("__s")
+    chunks = chunks.select("*", F.inline(F.array(F.struct(T.sentences(F.col("content")).alias("__s")))))
+    return chunks.select(*(c for c in chunks.columns if c != "__s"), F.size(T.split_words(F.col("content"))).alias("word_count"), F.size(s).alias("sentence_count"), T.coherence(s).alias("coherence_score"), T.completeness(F.col("content"), s).alias("completeness_score"))
 
 
 def gap_sections(blocks: DataFrame, page_height: Column, key: str = "page_id") -> DataFrame:

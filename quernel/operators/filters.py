@@ -50,9 +50,10 @@ def _column(c: Criterion, df: DataFrame) -> Column:
     if c.kind == "content":
         return F.col("content" if "content" in names else "text")
     if c.kind == "similarity":
-        return F.coalesce(*(F.col(n) for n in ("similarity_score", "ranking_score") if n in names))
+        return F.coalesce(*(F.col(n) for n in ("similarity_score", "ranking_score") if n in names), F.lit(None).cast("double"))
     if c.kind == "temporal":
-        return F.coalesce(*(F.col(n) for n in dict.fromkeys((c.field, "created_date", "date")) if n.split(".")[0] in names))
+        found = [F.col(n) for n in dict.fromkeys((c.field, "created_date", "date")) if n.split(".")[0] in names]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
     meta = lambda n: F.col(f"metadata.{n}") if "metadata" in names and n in df.select("metadata.*").columns else (F.col(n) if n in names else F.lit(None))
     body = F.col("content" if "content" in names else "text") if {"content", "text"} & names else F.lit("")
     if c.kind == "quality":
@@ -124,6 +125,8 @@ def _time(col: Column, c: Criterion) -> Column:
     a = (F.try_to_timestamp(F.regexp_replace(col, "Z$", "")) if c.kind == "temporal" else col).cast("timestamp_ntz")
     op, v = c.operator, c.value
     if op == "BETWEEN":
+        if not isinstance(v, (list, tuple)) or len(v) < 2:
+            return F.lit(False)
         return (a >= when(v[0])) & (a <= when(v[1]))
     if op in _COMPARE:
         return getattr(a, _COMPARE[op])(when(v))

@@ -18,11 +18,18 @@ def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFr
     return rows.groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
 
 
+def _distinct_terms(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """key, len, i, term: each document's distinct tokens, numbered from 0; a document without tokens has one row of null."""
+    # ``inline`` keeps what is above it from being computed again for each use, the outer explode keeps such documents.
+    toks = docs.select(key, F.inline(F.array(F.struct(T.tokens(F.col(body)).alias("t")))))
+    return toks.select(key, F.size("t").alias("len"), F.posexplode_outer(F.array_distinct("t")).alias("i", "term"))
+
+
 def corpus_stats(docs: DataFrame, body: str = "text") -> DataFrame:
     """A-11: one row: documents, mean length in tokens, vocabulary."""
-    toks = docs.select(T.tokens(F.col(body)).alias("t"))
-    size = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("t").cast("double")).alias("avg_len"))
-    return size.crossJoin(toks.select(F.explode("t").alias("term")).agg(F.countDistinct("term").alias("vocabulary")))
+    one = F.coalesce("i", F.lit(0)) == 0
+    return _distinct_terms(docs.select(F.lit(0).alias("k"), body), "k", body).agg(
+        F.count_if(one).alias("n_docs"), F.avg(F.when(one, F.greatest(F.col("len"), F.lit(0))).cast("double")).alias("avg_len"), F.countDistinct("term").alias("vocabulary"))
 
 
 def _query(text: str) -> list[str]:
@@ -36,10 +43,10 @@ def _count(tokens: Column | str, term: str) -> Column:
 
 
 def _hits(docs: DataFrame, query: list[str], key: str, body: str) -> DataFrame:
-    """One row a document: len, and tf of each query term. The documents aren't exploded: only query terms are counted."""
-    toks = docs.select(key, T.tokens(F.col(body)).alias("t"))
-    tf = [_count("t", q).cast("double").alias(f"tf_{i}") for i, q in enumerate(dict.fromkeys(query))]
-    return toks.select(key, F.size("t").cast("double").alias("len"), *tf)
+    """One row a document: len, and tf of each query term. The documents aren't exploded: only query terms are counted, and each text is tokenised once."""
+    terms = list(dict.fromkeys(query))
+    counted = lambda t: F.struct(F.size(t).cast("double").alias("len"), *(_count(t, q).cast("double").alias(f"tf_{i}") for i, q in enumerate(terms)))
+    return docs.select(key, F.inline(F.transform(F.array(T.tokens(F.col(body))), counted)))
 
 
 def _scored(docs: DataFrame, text: str, key: str, body: str, weigh) -> DataFrame:
@@ -91,17 +98,29 @@ def lexical_overlap(body: Column, text: str) -> Column:
 def term_frequency(body: Column, text: str) -> Column:
     """R-03: mean over the query's tokens of count / length."""
     query = _query(text)
-    toks = T.tokens(body)
-    found = sum((_count(toks, q) for q in query), F.lit(0)).cast("double")
-    return F.coalesce(F.try_divide(found, F.size(toks) * F.lit(float(max(1, len(query))))), F.lit(0.0))
+
+    def of(toks: Column) -> Column:
+        found = F.size(F.filter(toks, lambda x: x.isin(*set(query)))) if len(set(query)) == len(query) else sum((_count(toks, q) for q in query), F.lit(0))
+        return F.coalesce(F.try_divide(found.cast("double"), F.size(toks) * F.lit(float(max(1, len(query))))), F.lit(0.0))
+
+    return T.let(T.tokens(body), of) if query else F.lit(0.0)
 
 
 def document_frequency(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """R-02: mean of ln(N / df) over a document's distinct terms."""
-    post = postings(docs, key, body)
+    """R-02: mean of ln(N / df) over a document's distinct terms.
+
+    Terms of at least a hundredth of the documents meet their frequencies in a broadcast join (they are at most a
+    hundred times as many as a document's mean number of terms), so no other term's rows are hot in the join by term.
+    """
+    post = _distinct_terms(docs, key, body).where("term is not null").select(key, "term")
+    n = docs.count()
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    return post.join(df, "term").crossJoin(F.broadcast(n)).groupBy(key).agg(F.avg(F.ln(F.col("n") / F.col("df"))).alias("idf_mean"))
+    idf = df.select("term", "df", F.ln(F.lit(float(n)) / F.col("df")).alias("idf"))
+    often = F.broadcast(idf.where(F.col("df") * 100 >= n).select("term", F.col("idf").alias("__often")))
+    marked = post.join(often, "term", "left")
+    rest = marked.where("__often is null").join(idf.where(F.col("df") * 100 < n), "term").select(key, "idf")
+    both = marked.where("__often is not null").select(key, F.col("__often").alias("idf")).unionByName(rest)
+    return both.groupBy(key).agg(F.avg("idf").alias("idf_mean"))
 
 
 def temporal(days: Column) -> Column:

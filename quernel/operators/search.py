@@ -12,8 +12,8 @@ from ..functions import vector as V
 
 #: Query vectors are broadcast up to this many rows; beyond it the cross join is left to the optimizer.
 MAX_BROADCAST_QUERIES = 20_000
-#: Vectors in a block of ``knn``.
-BLOCK = 1024
+#: Vectors in a block of ``knn``, and parts of the searched side that the query blocks are sent to.
+BLOCK, CELLS = 1024, 32
 
 
 def prepare(vectors: DataFrame, column: str = "embedding", normalise: bool = True) -> DataFrame:
@@ -52,8 +52,21 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "c
     return top_k(scores(queries, vectors, metric, **names), k, least, **which)
 
 
+def _average_ranks(v: np.ndarray) -> np.ndarray:
+    """Of each row's values, from 1; equal values share the mean of their ranks."""
+    out = np.empty(v.shape)
+    for i, x in enumerate(v):
+        _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+        out[i] = (np.cumsum(n) - (n - 1) / 2)[at]
+    return out
+
+
 def _block_scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Similarities of all rows of ``q`` to all rows of ``v`` (V-01 ... V-08)."""
+    """Similarities of all rows of ``q`` to all rows of ``v`` (V-01 ... V-08); other names are cosine (V-09)."""
+    if metric in ("pearson", "spearman"):
+        if metric == "spearman":
+            q, v = _average_ranks(q), _average_ranks(v)
+        q, v = q - q.mean(axis=1, keepdims=True), v - v.mean(axis=1, keepdims=True)
     if metric in ("manhattan", "chebyshev"):
         out = np.empty((len(q), len(v)))
         for i, x in enumerate(q):
@@ -94,8 +107,9 @@ def _blocks(vectors: DataFrame, key: str, column: str, name: str) -> DataFrame:
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", least: float = 0.0, query: str = "query_id", key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """J-05, K-02 for query tables of any size: query, key, score, rank of the k best of each query, ties by key.
 
-    Both sides are packed into blocks of ``BLOCK`` rows that meet in a join on the
-    dimension; a pair of blocks is one matrix product and leaves k rows a query, so
+    Both sides are packed into blocks of ``BLOCK`` rows. Blocks of the searched side fall into
+    ``CELLS`` cells, and every query block is sent to each, so as many tasks share
+    the work even if all vectors have one dimension; a pair of blocks is one matrix product and leaves k rows a query, so
     what is shuffled to the final ranking is k rows for each query and block, never the pairs.
     Scores are rounded to 9 digits before they are ranked.
     """
@@ -112,7 +126,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosi
                 rows, at = np.nonzero(score >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(vi[order][top[rows, at]]), pa.array(score[rows, at])], names=[query, key, "score"])
 
-    pairs = _blocks(vectors, key, column, "v").join(_blocks(queries, query, column, "q"), "dim")
+    searched = _blocks(vectors, key, column, "v").withColumn("cell", F.pmod(F.xxhash64("v_ids"), F.lit(CELLS)).cast("int"))
+    asked = _blocks(queries, query, column, "q").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    pairs = searched.join(asked, ["dim", "cell"])
     scored = pairs.select("dim", "q_ids", "q_v", "v_ids", "v_v").mapInArrow(best, f"{query} long, {key} long, score double")
     return top_k(scored, k, least, query, key)
 

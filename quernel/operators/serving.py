@@ -47,7 +47,7 @@ def embed_cached(rows: DataFrame, cache: DataFrame, model: str, body: str = "tex
 
     Each distinct text that the cache lacks is embedded once.
     """
-    keyed = rows.withColumn("text_key", F.md5(F.col(body)))
+    keyed = rows.withColumn("text_key", text_id(F.col(body)))
     known = cache.where(F.col("embedding_model") == model).select("text_key", "embedding")
     misses = keyed.join(known.select("text_key"), "text_key", "left_anti").groupBy("text_key").agg(F.min(body).alias(body))
     fresh = embed(misses, model, body).select("text_key", "embedding_model", "embedding")
@@ -69,14 +69,18 @@ def live_cache(cache: DataFrame, now: Column, ttl_seconds: int, most: int = 1000
 
 
 def process_batch(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """E-05: ``f`` over Arrow batches; a batch on which it raises gives no rows."""
+    """E-05: ``f`` over Arrow batches. Where it raises it is called for each row of the batch, and only rows on which it raises alone give none, whatever the batches' size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             try:
                 yield f(pdf)
-            except Exception:  # noqa: BLE001 - errors drop a batch
-                continue
+            except Exception:  # noqa: BLE001 - some row of the batch
+                for i in range(len(pdf)):
+                    try:
+                        yield f(pdf.iloc[i : i + 1])
+                    except Exception:  # noqa: BLE001 - this row has no result
+                        continue
 
     return rows.mapInPandas(run, schema)
 

@@ -116,10 +116,21 @@ def memory_statistics(memories: DataFrame) -> DataFrame:
 
 
 def ema(log: DataFrame, by: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """A-19: exponential moving average of each group's values in order; the first value starts it."""
-    rows = log.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("s"))
-    fold = F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["v"]).otherwise(a * (1 - alpha) + x["v"] * alpha))
-    return rows.select(by, fold.alias("ema"))
+    """A-19: exponential moving average of each group's values in order; the first value starts it. A null value adds nothing.
+
+    A run of values turns an average x into x d^n + s, with d = 1 - alpha. Rows go by
+    ranges of (group, order) to tasks; n and s of each group's run in a task are folded in order,
+    so no group has to fit a task.
+    """
+    keep = 1 - alpha
+    rows = log.where(F.col(value).isNotNull()).select(by, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"))
+    rows = rows.repartitionByRange(by, "__o").withColumn("__part", F.spark_partition_id())
+    run = Window.partitionBy(by, "__part")
+    rows = rows.withColumn("__k", F.count("*").over(run) - F.row_number().over(run.orderBy("__o")))
+    runs = rows.groupBy(by, "__part").agg(F.count("*").alias("n"), F.sum(F.col("__v") * alpha * F.pow(F.lit(keep), F.col("__k"))).alias("s"), F.max_by("__v", "__k").alias("first"))
+    parts = runs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__part", "n", "s", "first"))).alias("ps"))
+    fold = F.aggregate("ps", F.element_at("ps", 1)["first"], lambda a, p: a * F.pow(F.lit(keep), p["n"]) + p["s"])
+    return parts.select(by, fold.alias("ema"))
 
 
 def hit_rate(log: DataFrame, hit: Column) -> DataFrame:

@@ -124,6 +124,21 @@ def _metric_query(metric: str):
 for _m in _METRIC_SQL:
     _metric_query(_m)
 
+#: Correlation is the cosine of centred vectors; ranks are taken once for each vector, equal values sharing their mean.
+_CENTRED = """unit AS (SELECT vec_id, label, list_transform(w, lambda x: x - list_avg(w)) AS v FROM raw)"""
+_RAW = {
+    "pearson": "raw AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings)",
+    "spearman": """each AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+      raw AS (SELECT vec_id, label, list(r ORDER BY i) AS w FROM (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, x) - 1) / 2 AS r FROM each) GROUP BY vec_id, label)""",
+}
+for _m, _raw in _RAW.items():
+
+    def _run(spark, sf_dir, metric=_m):
+        v = _table(spark, sf_dir, "embeddings")
+        return search.knn(v.withColumnRenamed("vec_id", "query_id"), v, 10, metric).select("query_id", "vec_id", _r("score").alias("score"), "rank")
+
+    _query(f"WITH {_raw}, {_CENTRED} SELECT query_id, vec_id, round(s, 6) AS score, CAST(k AS INTEGER) AS rank FROM ({_topk_sql('cosine', 10)})", f"{_m}_topk")(_run)
+
 
 @_query(f"""WITH {_UNIT}, centre AS (SELECT i, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM unit) GROUP BY i), mean AS (SELECT list(x ORDER BY i) AS v FROM centre),
   scored AS (SELECT a.vec_id, round({_METRIC_SQL["cosine"]}, 9) AS s FROM unit a, mean b),
