@@ -135,3 +135,31 @@ def document_kind(document_type: Column) -> Column:
     for prefix, kind in reversed(kinds.items()):
         out = F.when(F.startswith(document_type, F.lit(prefix)), kind).otherwise(out)
     return out
+
+
+def entity_kind(name: Column) -> Column:
+    """X-28: stored kind of a key of extracted entities; null for others, whose rows are dropped."""
+    kinds = {"persons": "person", "organizations": "organization", "locations": "location", "dates": "date", "amounts": "amount", "case_numbers": "case_number", "legal_references": "legal_reference", "charges": "charge"}
+    return F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[name]
+
+
+def case_type(document_type: Column) -> Column:
+    """X-28: criminal, civil or, for all others, administrative."""
+    low = F.lower(document_type)
+    return F.when(F.contains(low, F.lit("hình sự")), "Criminal").when(F.contains(low, F.lit("dân sự")), "Civil").otherwise("Administrative")
+
+
+def entities_of(entities: DataFrame, links: DataFrame, documents: list | None = None) -> DataFrame:
+    """J-03: the entities of the given documents (of all, if none are given): document_id and the entity's columns."""
+    wanted = links if documents is None else links.where(F.col("document_id").isin(*documents))
+    return wanted.select("document_id", "entity_type", "normalized_name").join(entities, ["entity_type", "normalized_name"])
+
+
+def chunks_by_strategy(chunks: DataFrame) -> DataFrame:
+    """A-07: chunks of each strategy that has any."""
+    return chunks.groupBy("strategy").agg(F.count("*").alias("chunks"))
+
+
+def failed(docs: DataFrame, status: str = "status") -> DataFrame:
+    """C-12: what to process again; its results replace stored ones (``replace_partition``)."""
+    return docs.where(F.col(status) == "failed")

@@ -1,4 +1,4 @@
-"""Query rewriting and task analysis (X-46 ... X-52, K-11, F-44, Z-11 ... Z-13). Dictionaries are small and live on the driver."""
+"""Query rewriting and task analysis (X-46 ... X-52, K-11, Z-11). Dictionaries are small and live on the driver."""
 
 from __future__ import annotations
 
@@ -101,18 +101,3 @@ def mine_answer(text: Column) -> Column:
 def suggest(known: DataFrame, text: str, limit: int = 5) -> DataFrame:
     """K-11: known queries (pos, query) that have the text in them, in list order."""
     return known.where(F.contains(F.lower("query"), F.lit(text.lower()))).orderBy("pos").limit(limit)
-
-
-TEMPLATES = {
-    "document_analysis": "Analyse {document_type} under {jurisdiction} law.\n{document_content}",
-    "legal_research": "Research {topic} in {jurisdiction}.\n{context}",
-    "compliance_check": "Check {subject} against {regulations}.\n{context}",
-}
-
-
-def render(template: str, **values: str) -> str:
-    """X-53: fill a template; missing variables are an error that names them (U-05)."""
-    needed = set(re.findall(r"\{(\w+)\}", template))
-    if needed - values.keys():
-        raise ValueError(f"missing: {', '.join(sorted(needed - values.keys()))}")
-    return template.format(**values)

@@ -103,6 +103,19 @@ def consolidate(memories: DataFrame, least: int = 3, most: int = 100, items: int
     return out.where(F.col("n") >= least).select("session_id", "n", "first", "last", F.slice("topics", 1, items).alias("topics"), F.transform(F.slice("cs", 1, items), lambda x: x["c"]).alias("items"))
 
 
+def due(memories: DataFrame, threshold: int = 50) -> DataFrame:
+    """A-23: sessions with so many conversation memories that they are to be consolidated."""
+    return memories.where("memory_type = 'conversation'").groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+
+
+def session_summary(memories: DataFrame) -> DataFrame:
+    """C-11: session_id, content: the most important (then newest) summary stored of each session, else one made by ``consolidate``; sessions with neither have no row."""
+    best = F.max_by("content", F.struct("importance", "timestamp", "id"))
+    stored = memories.where("memory_type = 'summary'").groupBy("session_id").agg(best.alias("stored"))
+    made = consolidate(memories).select("session_id", F.array_join("items", " | ").alias("made"))
+    return stored.join(made, "session_id", "full").select("session_id", F.coalesce("stored", "made").alias("content"))
+
+
 def expire(memories: DataFrame, cutoff: Column, most: int = 1000) -> DataFrame:
     """C-10, D20: of the first ``most`` memories of importance 2 or more, those of exactly 2, accessed less than twice and older than the cutoff, become expired."""
     seen = memories.where("status = 'active' and importance >= 2").orderBy(F.col("importance").desc(), F.col("timestamp").desc(), "id").limit(most)
@@ -139,9 +152,12 @@ def hit_rate(log: DataFrame, hit: Column) -> DataFrame:
 
 
 def template_usage(log: DataFrame) -> DataFrame:
-    """A-17: total, success rate and the five most used templates."""
+    """A-17: total, success rate, the five most used templates and the last ten uses."""
     per = log.groupBy("template").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
-    return per.agg(F.sum("n").alias("total"), F.coalesce(F.try_divide(F.sum("ok").cast("double"), F.sum("n")), F.lit(0.0)).alias("success_rate"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "template"))), 1, 5), lambda x: x["template"]).alias("top"))
+    top = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "template"))), 1, 5), lambda x: x["template"])
+    whole = per.agg(F.sum("n").alias("total"), F.coalesce(F.try_divide(F.sum("ok").cast("double"), F.sum("n")), F.lit(0.0)).alias("success_rate"), top.alias("top"))
+    last = log.orderBy(F.col("at").desc(), F.col("template").desc()).limit(10).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "template"))), lambda x: x["template"]).alias("recent"))
+    return whole.crossJoin(F.broadcast(last))  # a row each
 
 
 def prompt_context(turns: DataFrame, session: str = "conv_id", order: str = "turn", n: int = 5, clip: int = 200) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..sources import readers
 from ..operators import chunks, filters, kb, query, rank, search, sessions
 
 QUERIES: dict = {}
@@ -18,6 +19,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark, sf_dir):
+    """``documents`` for queries that read every text with regular expressions."""
+    return readers.spread(_table(spark, sf_dir, "documents"))
+
+
 def _query(sql: str | None = None, name: str | None = None):
     def add(f):
         QUERIES[name or f.__name__] = f
@@ -52,40 +58,40 @@ def _ranked_sql(weight: str) -> str:
 
 @_query(_ranked_sql("ln((n - DF + 0.5) / (DF + 0.5)) * (TF * 2.5) / (TF + 1.5 * (0.25 + 0.75 * n_toks / av))"))
 def bm25_topk(spark, sf_dir):
-    best = rank.top_k(rank.bm25(_table(spark, sf_dir, "documents"), TEXT), 10)
+    best = rank.top_k(rank.bm25(_docs(spark, sf_dir), TEXT), 10)
     return best.withColumn("score", _r("score"))
 
 
 @_query(_ranked_sql("TF / n_toks * ln(n / DF)"))
 def tfidf_topk(spark, sf_dir):
-    return rank.top_k(rank.tfidf(_table(spark, sf_dir, "documents"), TEXT), 10).withColumn("score", _r("score"))
+    return rank.top_k(rank.tfidf(_docs(spark, sf_dir), TEXT), 10).withColumn("score", _r("score"))
 
 
 @_query(f"WITH {_TOKS} SELECT doc_id, round(len(list_intersect(list_distinct(t), {_TERMS})) / {float(len(set(_TERMS)))}, 6) AS overlap FROM toks")
 def lexical_overlap(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", _r(rank.lexical_overlap(F.col("text"), TEXT)).alias("overlap"))
+    return _docs(spark, sf_dir).select("doc_id", _r(rank.lexical_overlap(F.col("text"), TEXT)).alias("overlap"))
 
 
 @_query(f"""WITH {_TOKS} SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len,
   (SELECT count(DISTINCT w) FROM (SELECT unnest(t) AS w FROM toks)) AS vocabulary FROM toks""")
 def corpus_stats(spark, sf_dir):
-    return rank.corpus_stats(_table(spark, sf_dir, "documents")).withColumn("avg_len", _r("avg_len"))
+    return rank.corpus_stats(_docs(spark, sf_dir)).withColumn("avg_len", _r("avg_len"))
 
 
 @_query(f"""WITH {_TOKS} SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM toks) GROUP BY term ORDER BY df DESC, term LIMIT 25""")
 def term_doc_freq_top(spark, sf_dir):
-    return rank.postings(_table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(25)
+    return rank.postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(25)
 
 
 @_query(f"""WITH {_TOKS}, p AS (SELECT doc_id, unnest(list_distinct(t)) AS term FROM toks), d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
   SELECT doc_id, round(avg(ln((SELECT count(*) FROM documents) / df)), 6) AS idf_mean FROM p JOIN d USING (term) GROUP BY doc_id""")
 def document_frequency_feature(spark, sf_dir):
-    return rank.document_frequency(_table(spark, sf_dir, "documents")).withColumn("idf_mean", _r("idf_mean"))
+    return rank.document_frequency(_docs(spark, sf_dir)).withColumn("idf_mean", _r("idf_mean"))
 
 
 @_query(f"""WITH {_TOKS} SELECT doc_id, round(coalesce(len(list_filter(t, lambda x: x IN {tuple(_TERMS)})) / nullif(len(t) * {float(len(_TERMS))}, 0), 0), 9) AS tf FROM toks""")
 def term_frequency_feature(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", _r(rank.term_frequency(F.col("text"), TEXT), 9).alias("tf"))
+    return _docs(spark, sf_dir).select("doc_id", _r(rank.term_frequency(F.col("text"), TEXT), 9).alias("tf"))
 
 
 _UNIT = """unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings)"""
@@ -283,22 +289,7 @@ _SENT = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([
   c AS (SELECT doc_id, i, array_to_string(s[i + 1:i + 3], ' ') AS content FROM g)
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, content FROM c WHERE length(content) >= 50""")
 def sentence_chunks(spark, sf_dir):
-    return chunks.sentence_chunks(_table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "content")
-
-
-@_query()
-def fixed_size_chunks(spark, sf_dir):
-    return chunks.fixed_size_chunks(_table(spark, sf_dir, "documents"))
-
-
-@_query()
-def paragraph_chunks(spark, sf_dir):
-    return chunks.paragraph_chunks(_table(spark, sf_dir, "documents"))
-
-
-@_query()
-def legal_section_chunks(spark, sf_dir):
-    return chunks.legal_section_chunks(_table(spark, sf_dir, "documents"))
+    return chunks.sentence_chunks(_docs(spark, sf_dir)).select("doc_id", "chunk_index", "content")
 
 
 _WS = r"list_filter(string_split_regex(trim(regexp_replace(s, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -310,7 +301,7 @@ _WS = r"list_filter(string_split_regex(trim(regexp_replace(s, '\s+', ' ', 'g')),
      + CASE WHEN regexp_matches(trim(text), '^\\p{{Lu}}') THEN 0.1 ELSE 0 END) END, 6) AS completeness FROM n""".replace("\\\\p", "\\p"))
 def chunk_scores(spark, sf_dir):
     s = T.sentences(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", _r(T.coherence(s)).alias("coherence"), _r(T.completeness(F.col("text"), s)).alias("completeness"))
+    return _docs(spark, sf_dir).select("doc_id", _r(T.coherence(s)).alias("coherence"), _r(T.completeness(F.col("text"), s)).alias("completeness"))
 
 
 _CX = r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS ns FROM documents),
@@ -319,14 +310,14 @@ _CX = r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L
 
 @_query(_CX + " SELECT doc_id, round(asl, 6) AS average_sentence_length, round(awl, 6) AS average_word_length, nw AS total_words, ns AS total_sentences FROM m")
 def text_complexity(spark, sf_dir):
-    m = _table(spark, sf_dir, "documents").select("doc_id", T.complexity(F.col("text"), F.lit(0)).alias("m"))
+    m = _docs(spark, sf_dir).select("doc_id", T.complexity(F.col("text"), F.lit(0)).alias("m"))
     return m.select("doc_id", _r("m.average_sentence_length").alias("average_sentence_length"), _r("m.average_word_length").alias("average_word_length"), "m.total_words", "m.total_sentences")
 
 
 @_query(_CX + " SELECT doc_id, round(greatest(0, least(100, 100 * (1 - (least(asl / 20, 1) + least(awl / 8, 1)) / 3))), 6) AS readability FROM m")
 def readability(spark, sf_dir):
     """Without legal terms (none of the fixture's languages has them): density 0."""
-    m = _table(spark, sf_dir, "documents").select("doc_id", T.complexity(F.col("text"), F.lit(0)).alias("m"))
+    m = _docs(spark, sf_dir).select("doc_id", T.complexity(F.col("text"), F.lit(0)).alias("m"))
     return m.select("doc_id", _r(T.readability(F.col("m"))).alias("readability"))
 
 
@@ -334,7 +325,7 @@ def readability(spark, sf_dir):
   SELECT doc_id, count(*) AS total_lines, count(*) FILTER (regexp_matches(trim(line), '^[IVX]+\.\s*.+$')) AS roman,
    count(*) FILTER (regexp_matches(trim(line), '^\d+\.\s*.+$')) AS numbered, count(*) FILTER (regexp_matches(trim(line), '^[a-z]\)\s*.+$')) AS lettered FROM l GROUP BY doc_id""")
 def section_structure(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.structure(F.col("text")).alias("s")).select("doc_id", "s.total_lines", "s.roman", "s.numbered", "s.lettered")
+    return _docs(spark, sf_dir).select("doc_id", T.structure(F.col("text")).alias("s")).select("doc_id", "s.total_lines", "s.roman", "s.numbered", "s.lettered")
 
 
 _HYBRID = f"""WITH {_TOKS}, f AS (SELECT doc_id, 0.4 * 0 + 0.2 * (len(list_intersect(list_distinct(t), {_TERMS})) / {float(len(set(_TERMS)))}) + 0.15 * 0.5 + 0.1 * 0.5 + 0.05 * 0.5
@@ -345,7 +336,7 @@ def _hybrid_rows(spark, sf_dir):
     t = F.col("text")
     half = F.lit(0.5)
     feats = {"semantic": F.lit(0.0), "lexical": rank.lexical_overlap(t, TEXT), "authority": half, "temporal": half, "quality": T.content_quality(t), "engagement": half}
-    return _table(spark, sf_dir, "documents").select("doc_id", rank.hybrid(feats).alias("score"))
+    return _docs(spark, sf_dir).select("doc_id", rank.hybrid(feats).alias("score"))
 
 
 @_query(_HYBRID + " SELECT doc_id, round(s, 6) AS score FROM f")
@@ -360,8 +351,9 @@ def minmax_scores(spark, sf_dir):
 
 @_query()
 def mmr_rerank(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    best = rank.top_k(rank.bm25(docs, TEXT), 20).join(docs.select("doc_id", "text"), "doc_id").withColumn("query_id", F.lit(0))
+    docs = _docs(spark, sf_dir)
+    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    best = rank.top_k(rank.bm25(docs, TEXT), 20).join(texts, "doc_id").withColumn("query_id", F.lit(0))
     return rank.mmr(best, "query_id", "doc_id", "score", "text")
 
 
@@ -464,3 +456,6 @@ def orders_by_nation(spark, sf_dir):
     per = o.groupBy("o_custkey").agg(F.count("*").alias("k"), F.sum("o_totalprice").alias("t"))
     joined = per.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.sum("k").alias("orders"), F.round(F.sum("t"), 2).alias("total"))
+
+
+from . import more  # noqa: E402, F401 - registers its queries here

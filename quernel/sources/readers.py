@@ -18,6 +18,15 @@ SPANS = "path string, page_no int, block_no int, line_no int, span_no int, text
 IMAGES = r"(?i)\.(png|jpe?g|tiff?|bmp|gif)$"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is scanned in fewer pieces than twice their number (one file of few row groups); else as it is.
+
+    Costs a shuffle of a small table, and never of a large one, which has more pieces than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """S-13."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quernel.functions import extract, normalise, terms
-from quernel.operators import filters, kb, query, rank, search, serving
+from quernel.operators import filters, kb, prompts, query, rank, search, service, serving, sessions
 from quernel.sources import readers, writers
 from quernel.streaming import streams
 
@@ -65,7 +65,7 @@ def test_blocks_equal_expressions(spark):
     rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(6)]) for i in range(40)]
     v = spark.createDataFrame(rows + [(99, None), (98, []), (97, [1.0, 2.0])], "vec_id long, embedding array<double>")
     q = v.where("size(embedding) = 6").withColumnRenamed("vec_id", "query_id")
-    for metric in ("cosine", "euclidean", "manhattan", "chebyshev", "dot", "angular"):
+    for metric in ("cosine", "euclidean", "manhattan", "chebyshev", "dot", "angular", "pearson", "spearman"):
         a = {(r[0], r[1]): (round(r[2], 7), r[3]) for r in search.knn(q, v, 5, metric).collect()}
         plain = search.scores(q, v.where("size(embedding) = 6"), metric).withColumn("score", F.round("score", 9))
         b = {(r[0], r[1]): (round(r[2], 7), r[3]) for r in search.top_k(plain, 5).select("query_id", "vec_id", "score", "rank").collect()}
@@ -105,11 +105,61 @@ def test_cached_embeddings(spark):
     assert serving.retry(lambda: calls.append(1) or len(calls) > 2 or 1 / 0, wait=lambda s: None) is True and len(calls) == 3
 
 
-def test_batch_errors_drop_the_batch(spark):
-    rows = spark.range(10)
+def test_batch_errors_drop_rows_alone(spark):
+    rows = spark.range(0, 10, numPartitions=2)
     assert serving.process_batch(rows, lambda pdf: pdf, "id long").count() == 10
     assert serving.process_batch(rows, lambda pdf: 1 / 0, "id long").count() == 0
 
+    def picky(pdf):
+        if (pdf["id"] == 3).any():
+            raise ValueError
+        return pdf
+
+    assert sorted(r["id"] for r in serving.process_batch(rows, picky, "id long").collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+
+
+def test_filters_without_their_columns_pass_nothing(spark):
+    df = spark.createDataFrame([(1, "2024-01-05")], "id int, day string")
+    for node in (filters.similarity(0.1), filters.Criterion("when", "GREATER_EQUAL", "2024-01-01", "temporal"), filters.Criterion("day", "BETWEEN", "2024", "temporal"), filters.Criterion("day", "BETWEEN", ["x"], "temporal")):
+        assert filters.apply(df, node).count() == 0
+    assert filters.apply(df, filters.Criterion("day", "BETWEEN", ["2024-01-01", "2024-02-01"], "temporal")).count() == 1
+
+
+def test_prompts(spark):
+    import pytest
+
+    lib = prompts.Library()
+    text = lib.prompt("legal_qa", **prompts.variables("Is it valid?"))
+    assert "Is it valid?" in text["user"] and text["system"]
+    with pytest.raises(ValueError, match="missing: question"):
+        lib.prompt("legal_qa", legal_area="x", jurisdiction="x", context="x", questioner_background="x", urgency_level="x")
+    with pytest.raises(ValueError, match="no template"):
+        lib.prompt("nothing")
+    assert lib.add(prompts.Template("My Own", "legal_qa", "s", ["a"])) == "my_own" and "A: 7" in lib.prompt("my_own", a=7)["user"]
+    use = sessions.template_usage(lib.usage(spark)).first()
+    assert use["total"] == 4 and use["success_rate"] == 0.5 and use["top"][0] == "legal_qa" and use["recent"][-1] == "my_own"
+    assert [r["name"] for r in prompts.lookup(lib.table(spark), "legal_qa").collect()] == ["legal_qa", "my_own"]
+    assert [r["name"] for r in prompts.lookup(lib.table(spark), document_type="contract").collect()] == ["contract_review"]
+    assert len(prompts.follow_ups("legal_research")) == 3 and prompts.follow_ups("x") == prompts.follow_ups("legal_qa")
+
+
+def test_moving_average_over_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("aaab"), i, rng.random()) for i in range(3000)]
+    want = {}
+    for g, _, v in rows:
+        want[g] = v if g not in want else 0.9 * want[g] + 0.1 * v
+    got = {r["g"]: r["ema"] for r in sessions.ema(spark.createDataFrame(rows, "g string, i int, v double").repartition(3), "g", "i", "v").collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_service_takes_models_apart(spark):
+    v = spark.createDataFrame([(1, "m", [1.0, 0.0]), (2, "m", [0.8, 0.6]), (3, "n", [1.0, 0.1])], "vec_id long, model string, embedding array<double>")
+    q = spark.createDataFrame([(0, 0, "m", [1.0, 0.0]), (0, 1, "n", [0.0, 1.0])], "query_id int, variant int, model string, embedding array<double>")
+    assert sorted((r["vec_id"], round(r["score"], 6)) for r in service.retrieve(q, v, 5, 0.5, model="model").collect()) == [(1, 1.0), (2, 0.8)]
+
 
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "in").mkdir()
