@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import discard, materialise, pieces
 from .components import components
 
 THRESHOLD, PASSES, WINDOW, PER_PARTITION, SEED = 0.95, 12, 32, 100_000, 20240311
@@ -58,16 +58,15 @@ def _unit(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, out = [], []
-            for i, x in zip(b.column("id").to_pylist(), b.column("v")):
-                if i is None or not x.is_valid or not len(x):
-                    continue
-                raw = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                norm = np.linalg.norm(raw)
-                if np.isfinite(norm) and norm > 0:
-                    ids.append(i)
-                    out.append((raw / norm).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
+            sizes = np.where(b.column("id").is_valid().to_numpy(zero_copy_only=False), b.column("v").value_lengths().fill_null(0).to_numpy(), 0)
+            for dim in np.unique(sizes[sizes > 0]):
+                rows = b.take(pa.array(np.flatnonzero(sizes == dim)))
+                raw = rows.column("v").flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy().reshape(-1, dim)
+                norm = np.linalg.norm(raw, axis=1)
+                good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+                unit = (raw[good] / norm[good, None]).astype("<f4")
+                packed = pa.Array.from_buffers(pa.binary(4 * int(dim)), len(good), [None, pa.py_buffer(unit.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(good)), packed], names=["id", "v"])
 
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).mapInArrow(run, "id long, v binary")
 
@@ -191,7 +190,10 @@ def similar(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
 
     bounds = found.where("kind > 0").select("part", "pass", "dim", "key", "id", "v")
     over = bounds.groupBy("part").applyInPandas(across, "a long, b long")
-    return equal.unionByName(found.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b"))).unionByName(over)
+    edges = equal.unionByName(found.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b"))).unionByName(over)
+    edges = materialise(edges, "near")
+    discard(unit, once, found)
+    return edges
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", **options) -> DataFrame:

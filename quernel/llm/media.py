@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, small
+from .common import discard, materialise, shared_dir, small
 
 SHARD_BYTES, HEAD, HEAD_RAW = 256 << 20, 1536, 4096
 INDEX = "digest string, shard string, offset long, length long, raw_length long, encoding string"
@@ -44,6 +44,26 @@ def _jpeg(head: bytes) -> dict:
     return {}
 
 
+def _wav(head: bytes) -> dict:
+    at, rate, per_second = 12, None, 0
+    while at + 8 <= len(head):
+        kind, size = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
+        if kind == b"fmt " and at + 20 <= len(head):
+            rate, per_second = struct.unpack("<II", head[at + 12 : at + 20])
+        if kind == b"data":
+            return {"sample_rate": rate, "duration_ms": size * 1000 // per_second if per_second else None}
+        at += 8 + size + size % 2
+    return {"sample_rate": rate}
+
+
+def _more(meta: dict, head: bytes) -> bool:
+    """Whether the header goes on after ``head``."""
+    kind = meta["media_type"]
+    if kind == "text/html":
+        return not re.search(rb"</head|<body", head, re.I)
+    return kind == "image/jpeg" and meta["width"] is None or kind == "audio/wav" and meta["duration_ms"] is None
+
+
 def _html(head: bytes) -> dict:
     charset = re.search(rb"<meta[^>]+charset\s*=\s*[\"']?([\w-]+)", head, re.I)
     name = charset[1].decode("ascii").lower() if charset else None
@@ -70,10 +90,8 @@ def sniff(head: bytes) -> dict:
     if head[:2] == b"BM" and len(head) >= 26:
         width, height = struct.unpack("<ii", head[18:26])
         return out | {"media_type": "image/bmp", "width": width, "height": abs(height)}
-    if head[:4] == b"RIFF" and head[8:12] == b"WAVE" and len(head) >= 44:
-        rate, per_second = struct.unpack("<II", head[24:32])
-        size = struct.unpack("<I", head[40:44])[0] if head[36:40] == b"data" else None
-        return out | {"media_type": "audio/wav", "sample_rate": rate, "duration_ms": size * 1000 // per_second if size is not None and per_second else None}
+    if head[:4] == b"RIFF" and head[8:12] == b"WAVE":
+        return out | {"media_type": "audio/wav"} | _wav(head)
     if re.match(rb"\s*(<!--.*?-->\s*)*<(!doctype html|html|head|body)\b", head, re.I | re.S):
         return out | {"media_type": "text/html"} | _html(head)
     try:
@@ -151,11 +169,21 @@ def _read(file, offset: int, length: int, encoding: str, most: int | None = None
     raw = file.read(length if most is None else min(length, most))
     if encoding == "plain":
         return raw
-    return zlib.decompress(raw) if most is None else zlib.decompressobj().decompress(raw, HEAD_RAW)
+    return zlib.decompress(raw) if most is None else zlib.decompressobj().decompress(raw, most * HEAD_RAW // HEAD)
+
+
+def _look(file, offset: int, length: int, encoding: str, head: int) -> dict:
+    """Metadata from the first ``head`` stored bytes; where the header goes on (a picture's long comment, a late title) from four times as many, and so on."""
+    while True:
+        data = _read(file, offset, length, encoding, head)
+        meta = sniff(data)
+        if not _more(meta, data) or head >= length and len(data) < head * HEAD_RAW // HEAD:
+            return meta
+        head *= 4
 
 
 def describe(index: DataFrame, head: int = HEAD) -> DataFrame:
-    """``index`` and the metadata columns, from the first ``head`` stored bytes of each range."""
+    """``index`` and the metadata columns, from the first ``head`` stored bytes of each range, and from more only where a header is longer."""
     fields = list(_NONE)
 
     def look(batches):
@@ -167,7 +195,7 @@ def describe(index: DataFrame, head: int = HEAD) -> DataFrame:
                     if file:
                         file.close()
                     path, file = shard, _open(shard, "r")
-                found.append(sniff(_read(file, offset, length, encoding, head)))
+                found.append(_look(file, offset, length, encoding, head))
             meta = pd.DataFrame(found, columns=fields, dtype=object)
             for c in ("width", "height", "sample_rate", "duration_ms"):
                 meta[c] = meta[c].astype("Int64")
@@ -185,7 +213,8 @@ def media_columns(rows: DataFrame, key: str = "page_id", payload: str = "html",
     Equal payloads share a digest and a range. A null payload has null in all
     other columns; an empty one has length of an empty stream and type
     application/x-empty; a null key is kept. Text columns are stored as UTF-8.
-    Repeated rows share a range each. An empty table gives no rows and no shard.
+    Repeated rows share a range each; of several, the one of least key (a null least) is stored.
+    A long payload is one range. An empty table gives no rows and no shard.
     """
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
@@ -198,9 +227,10 @@ def media_columns(rows: DataFrame, key: str = "page_id", payload: str = "html",
     none = F.lit(-(1 << 63))
     repeated = slim.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.coalesce("key", none)).alias("holder")).where("n > 1").select("digest", "holder")
     repeated = materialise(repeated, "repeated")
-    repeated = small(repeated, repeated.count())
-    index = store(held.join(repeated, "digest", "left").select(F.coalesce("key", none).alias("key"), "payload", "digest", "holder"), folder, shard_bytes)
-    described = materialise(describe(materialise(index, "ranges")), "described")
+    index = store(held.join(small(repeated, repeated.count()), "digest", "left").select(F.coalesce("key", none).alias("key"), "payload", "digest", "holder"), folder, shard_bytes)
+    ranges = materialise(index, "ranges")
+    described = materialise(describe(ranges), "described")
+    discard(ranges, repeated)
     return slim.join(described, "digest", "left").select(F.col("key").alias(key), *(c for c in described.columns))
 
 

@@ -108,7 +108,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, per_bucket: int = PER_BUCKET) -
     A group is all rows with one text (by digest); a group larger than an even
     share fills its shard alone. A null text counts 0 bytes, and all null texts are
     one group, all empty ones another. A null doc_id keeps its row; repeated
-    rows are members of their group each. An empty table gives no rows. Other
+    rows are members of their group each. Of groups of equal bytes the one of lower digest is
+    placed first. A text's length is only a number here. An empty table gives no rows. Other
     columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))

@@ -94,3 +94,67 @@ def test_substring_leaves_short_repeats(spark):
     """A shared heading of 14 words is no passage."""
     rows = [(i, f"One heading that every one of these texts has, of fourteen words in all.\nAn own text number {i} with the words a{i} b{i} c{i} d{i} e{i} and f{i}.") for i in range(40)]
     assert {(r["doc_id"], r["text"]) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(rows)
+
+
+def test_sharding_query_is_whole_and_balanced(spark, small_dir):
+    """Bytes and copies from plain reads; shards are no worse than those of the greedy rule (largest group first to the emptiest shard) and no group is split."""
+    from collections import defaultdict
+
+    from quernel.llm import queries
+
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op1_sharding"](spark, small_dir).collect()
+    assert {r["doc_id"]: r["bytes"] for r in rows} == {d: len(t.encode()) for d, t in text.items()} and len(rows) == len(text)
+    groups, shards, bytes_of = defaultdict(set), [0] * 64, defaultdict(int)
+    for r in rows:
+        groups[text[r["doc_id"]]].add(r["shard"])
+        bytes_of[text[r["doc_id"]]] += r["bytes"]
+        shards[r["shard"]] += r["bytes"]
+    assert all(len(g) == 1 for g in groups.values())
+    greedy = [0] * 64
+    for n in sorted(bytes_of.values(), reverse=True):
+        greedy[greedy.index(min(greedy))] += n
+    assert max(shards) - min(shards) <= max(greedy) - min(greedy)
+
+
+def test_media_query_against_plain_reads(spark, small_dir):
+    """Digest, lengths and metadata from the whole payloads, and the payloads themselves from their ranges."""
+    import hashlib
+
+    from quernel.llm import media, queries
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()}
+    found = queries.QUERIES["op10_media_columns"](spark, small_dir).cache()
+    rows = {r["page_id"]: r.asDict() for r in found.collect()}
+    assert rows.keys() == pages.keys()
+    for k, html in pages.items():
+        raw = html.encode()
+        assert rows[k]["digest"] == hashlib.sha256(raw).hexdigest() and rows[k]["raw_length"] == len(raw)
+        whole = media.sniff(raw)
+        assert {c: rows[k][c] for c in whole} == whole
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in media.fetch(found).collect()} == pages
+
+
+def test_media_reads_on_where_headers_are_long(spark):
+    import struct
+    import zlib
+
+    from quernel.llm import media
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\0" * 50
+    exif = b"\xff\xd8" + b"".join(b"\xff\xe1" + struct.pack(">H", 60_002) + bytes(60_000) for _ in range(2))
+    jpeg = exif + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 300, 400) + b"\0" * 500
+    gif = b"GIF89a" + struct.pack("<HH", 7, 9) + b"\0" * 20
+    bmp = b"BM" + bytes(16) + struct.pack("<ii", 5, -6) + bytes(20)
+    fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16)
+    wav = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + struct.pack("<4sI", b"LIST", 9001) + bytes(9002) + fmt + struct.pack("<4sI", b"data", 32_000) + bytes(100)
+    noise = b"".join(zlib.crc32(bytes([i % 256, i // 256])).to_bytes(4, "big").hex().encode() for i in range(9000))
+    html = b"<html lang='fr'><head><script>" + noise + b"</script><meta charset='utf-8'><title>Late</title></head></html>"
+    rows = list(enumerate((png, jpeg, gif, bmp, wav, html)))
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "page_id long, html binary")
+    got = {r["page_id"]: (r["media_type"], r["width"], r["height"], r["sample_rate"], r["duration_ms"], r["title"], r["lang"]) for r in media.media_columns(df).collect()}
+    none = (None,) * 2
+    assert got == {
+        0: ("image/png", 640, 480, *none, *none), 1: ("image/jpeg", 400, 300, *none, *none), 2: ("image/gif", 7, 9, *none, *none),
+        3: ("image/bmp", 5, 6, *none, *none), 4: ("audio/wav", None, None, 8000, 2000, *none), 5: ("text/html", *none, *none, "Late", "fr"),
+    }
