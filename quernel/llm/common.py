@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its rows, at their estimated width, take at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Arrow batches between the JVM and Python hold at most about so many bytes, in either's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
@@ -87,7 +87,7 @@ def small(df: DataFrame, rows: int, wide: int = 64, limit: int = BROADCAST_BYTES
     return F.broadcast(df) if rows * width <= limit else df
 
 
-def slices(batch, column: str, most: int = 1 << 20):
+def slices(batch, column: str, most: int = 1 << 19):
     """Cut an Arrow batch into row ranges of about ``most`` bytes of ``column`` (one row at least), so a worker's arrays stay small; what they took is given back after the batch."""
     import numpy as np
     import pyarrow as pa

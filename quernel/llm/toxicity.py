@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     sample = materialise(sample, "labelled")
 
     def tally(batches):
-        for b in (part for whole in batches for part in slices(whole, "terms", 4 << 20)):
+        for b in (part for whole in batches for part in slices(whole, "terms", 1 << 20)):
             data, ends = textvec.buffers(b.column("terms"))
             values, at = np.unique(data.view(np.uint64), return_inverse=True)
             bad = np.repeat(b.column("toxic").to_numpy(), np.diff(ends) // 8)
@@ -262,7 +262,7 @@ def _step(sample: DataFrame, known: np.ndarray, start: Model | None, options: di
     """A model of the sample (doc_id, toxic, held, terms) over ``known`` terms, fitted in one task; None if there are no rows."""
 
     def narrowed(batches):
-        for b in (part for whole in batches for part in slices(whole, "terms", 4 << 20)):
+        for b in (part for whole in batches for part in slices(whole, "terms", 1 << 20)):
             data, ends = textvec.buffers(b.column("terms"))
             values = data.view(np.uint64)
             hit = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), dtype=bool)
@@ -315,7 +315,7 @@ def _margin(docs: DataFrame, model: Model):
     def margin(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(*shared.value)
         for texts in batches:
-            parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 2 << 20)
+            parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")
             yield pa.array(np.concatenate([model.score(*terms(b.column("text"))) - model.cut for b in parts] or [np.zeros(0)]))
 
     return margin
