@@ -137,7 +137,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
 def descend(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, known: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, start: Model | None = None) -> Model:
     """AdaGrad on the logistic loss, batches of 64, over ``known`` terms, from ``start`` on; held-out rows choose the cut.
 
-    Rows of one class only give a model that calls nothing toxic (or, if all are toxic, everything).
+    Rows of one class only, or without any known term, give a model that calls nothing toxic (or, if all are toxic, held-out ones included, everything).
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     held, fit = np.flatnonzero(held), np.flatnonzero(~held)
@@ -145,8 +145,9 @@ def descend(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, known: np.n
     m = len(known)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
     gw, gv, gb, b = np.full(m, 1e-2), np.full((m, factors), 1e-2), 1e-2, 0.0
-    if len(y) == 0 or y.min() == y.max():
-        return Model(known, w, v * 0, 5.0 if len(y) and y[0] else -5.0, 0.0)
+    if not len(known) or not len(fit) or y[fit].min() == y[fit].max():
+        alike = not len(y) or y.min() == y.max()
+        return Model(known, w, v * 0, 5.0 if len(y) and y.min() > 0 else -5.0, 0.0, float(alike))
     b = float(np.log(y[fit].mean() / (1 - y[fit].mean()))) if 0 < y[fit].mean() < 1 else 0.0
     if start is not None and len(start.known):
         at = np.searchsorted(known, start.known)
