@@ -32,6 +32,66 @@ def test_jaccard_finds_a_short_text_with_another_last_word(spark):
     assert {(r["doc_id"], r["keep_id"]) for r in jaccard.pairs(docs).collect()} == {(2 * k + 1, 2 * k) for k in range(20)}
 
 
+def test_jaccard_finds_large_sets(spark):
+    """Pairs just similar enough, of sets of 97 to 3,000 features: sizes alike, and as far apart as can be. None may be missed."""
+    t, rows = jaccard.THRESHOLD, []
+    for a in (97, 110, 130, 160, 200, 270, 400, 800, 3000):
+        for b in (a, int(a / t)):
+            both = math.ceil(t * (a + b) / (1 + t) - 1e-9)
+            for k in range(1 if a == 3000 else 20):
+                words = [f"w{a}x{b}x{k}x{i}" for i in range(a + b - both)]
+                rows += [(len(rows), " ".join(words[:a])), (len(rows) + 1, " ".join(words[a - both :]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"]) for r in jaccard.pairs(docs, n=1).collect()} == {(i + 1, i) for i in range(0, len(rows), 2)}
+    assert {tuple(r) for r in jaccard.join(docs, n=1).select("doc_id", "class_id", "n_links").collect()} == {(i, i - i % 2, 1) for i in range(len(rows))}
+
+
+def test_jaccard_counts_all_links(spark):
+    """A cluster in which not all are similar to all, exact copies, texts without words and one without a doc_id, against brute force."""
+    import random
+
+    rng, base = random.Random(6), [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(f"o{rng.randint(0, 10**6)}" if rng.random() < 0.002 * (i % 60) else w for w in base)) for i in range(120)]
+    rows += [(200 + i, rows[i][1].upper()) for i in range(5)] + [(300 + i, " ".join(rng.choice(base) for _ in range(150))) for i in range(40)]
+    rows += [(400, ""), (401, None), (402, "--"), (403, "alone"), (404, "alone!"), (405, "alone too"), (None, "w0"), (406, "W0")]
+    grams = {}
+    for d, text in rows:
+        w = [v.strip("!-") for v in (text or "").lower().split() if v.strip("!-")]
+        grams[d] = {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+    links = {d: {e for e in grams if e != d and grams[d] and len(grams[d] & grams[e]) >= jaccard.THRESHOLD * len(grams[d] | grams[e])} for d in grams}
+    want = set()
+    for d in grams:
+        seen, todo = {d}, [d]
+        while todo:
+            more = links[todo.pop()] - seen
+            seen |= more
+            todo += more
+        want.add((d, min((e for e in seen if e is not None), default=None), len(links[d])))
+    assert 2000 < sum(map(len, links.values())) and any(0 < len(links[d]) < 100 for d in range(120))
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    found = jaccard.join(docs)
+    assert found.columns == ["doc_id", "class_id", "n_links"]
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {(r["doc_id"], r["keep_id"]) for r in jaccard.pairs(docs).collect()} == {(d, k) for d, k, n in want if d != k}
+
+
+def test_jaccard_prefixes_lose_no_pair():
+    """Any order of features gives every similar pair, also one that counts of other texts give; a held bound of one pair yields them in parts."""
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(rng.choice(words, rng.integers(1, 60))) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[: max(1, len(s) - int(k))], rng.choice(words, int(k))])) for s in sets for k in rng.integers(0, 12, 4)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (c := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - c) >= jaccard.THRESHOLD}
+    bounds = np.cumsum([0, *map(len, sets)])
+    bits = [np.frombuffer(f, dtype=np.uint64) for f in jaccard.parities(np.concatenate(sets), bounds)]
+    assert all(jaccard.near(bits[i], bits[j], jaccard.THRESHOLD) for i, j in want) and not all(jaccard.near(bits[0], b, jaccard.THRESHOLD) for b in bits)
+    for levels in (np.zeros(1 << jaccard.SLOT_BITS, dtype=np.uint8), rng.integers(0, 256, 1 << jaccard.SLOT_BITS).astype(np.uint8)):
+        owner, gram, before, rank = jaccard.postings(np.concatenate(sets), bounds, levels, jaccard.THRESHOLD)
+        parts = list(jaccard.candidate_pairs(gram, owner, before, np.diff(bounds)[owner], rank, jaccard.THRESHOLD, most=1))
+        assert len(parts) > 1 and want <= {tuple(p) for found in parts for p in found.tolist()} and len(want) > 100
+
+
 def test_embeddings_finds_pairs_at_the_threshold_in_a_dense_cluster(spark):
     """6,000 vectors at a cosine of about 0.88 to each other, so hundreds lie between near ones in every pass."""
     rng = np.random.default_rng(3)
