@@ -76,6 +76,37 @@ def test_jaccard_counts_all_links(spark):
     assert {(r["doc_id"], r["keep_id"]) for r in jaccard.pairs(docs).collect()} == {(d, k) for d, k, n in want if d != k}
 
 
+@pytest.mark.parametrize("most", (1 << 16, 50))
+def test_jaccard_sends_near_copies_once(spark, monkeypatch, most):
+    """60 groups of 20 near copies, of 15 pieces' bytes: all links are found, and what is shuffled is a few times their features. With ``most`` pairs a cell the groups are split."""
+    import random
+    import time
+
+    monkeypatch.setattr(jaccard, "CELL_BYTES", 1 << 16)
+    monkeypatch.setattr(jaccard, "GROUP_PAIRS", most, raising=False)
+    rng, rows = random.Random(8), []
+    for g in range(60):
+        words = [f"g{g}x{i}x{rng.randint(0, 10**6)}" for i in range(101)]
+        rows += [(20 * g + k, " ".join([*words[: 5 * k], f"k{k}", *words[5 * k + 1 :]])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        spark.range(1).collect()
+        sc.listenerBus().waitUntilEmpty()
+        time.sleep(0.5)
+        held = sc.statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = written()
+    got = {tuple(r) for r in jaccard.join(docs).select("doc_id", "class_id", "n_links").collect()}
+    assert got == {(d, d - d % 20, 19) for d, _ in rows}
+    moved = (written() - before) / (1200 * 100 * 8)
+    assert most == 50 or 1 < moved < 6, moved
+    if most == 50:
+        assert {(r["doc_id"], r["keep_id"]) for r in jaccard.pairs(docs).collect()} == {(d, d - d % 20) for d, _ in rows if d % 20}
+
+
 def test_jaccard_prefixes_lose_no_pair():
     """Any order of features gives every similar pair, also one that counts of other texts give; a held bound of one pair yields them in parts."""
     rng = np.random.default_rng(9)
