@@ -71,6 +71,30 @@ def _texts(rng, words, n):
     return [" ".join(rng.choice(words) for _ in range(rng.randint(3, 120))) for _ in range(n)]
 
 
+def test_texts_are_encoded_in_one_call(monkeypatch):
+    """op2, op8: a text of words that never came before took a call for each of them."""
+    import tiktoken
+
+    from quernel.llm import tokens
+
+    calls, plain = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or plain(self, text))
+    enc = tokens.Encoder(tokens.VOCAB)
+    enc.pack(" ".join(f"word{i}" for i in range(1000)))
+    assert len(calls) == 1
+
+
+def test_cut_texts_give_the_ids_of_the_whole_pattern():
+    from quernel.llm import tokens
+
+    enc = tokens.encoder(tokens.VOCAB)
+    rng = random.Random(7)
+    parts = [" ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u200b", "\u3000", "a", "The", "don't", "'s", "1", ".", ",,", "é", "e\u0301", "日本", "🙂", "\0"]
+    texts = ["", " ", "  ", "a  ", "a\n ", "  a", "\n\n\n", *("".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(20_000))]
+    for text in texts:
+        assert np.frombuffer(enc.pack(text), dtype=f"<u{enc.width}").tolist() == enc.encoding.encode_ordinary(text), repr(text)
+
+
 def test_jaccard_recall_against_brute_force(spark):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(400)]
