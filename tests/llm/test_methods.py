@@ -84,6 +84,23 @@ def test_texts_are_encoded_in_one_call(monkeypatch):
     assert len(calls) == 1
 
 
+def test_packing_encodes_each_text_once(monkeypatch):
+    """op8: its blocks took a call for each new word of a text."""
+    import tiktoken
+
+    from quernel.llm import tokens
+
+    calls, plain = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or plain(self, text))
+    enc = tokens.Encoder(tokens.VOCAB)
+    texts = [" ".join(f"word{i}x{k}" for i in range(300)) for k in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    blocks = list(packing._blocks([batch], enc, 0, 512, 63))
+    assert len(calls) == 5
+    got = b"".join(b.column(c)[0].as_py() for b in blocks for c in ("head", "body", "tail"))
+    assert np.frombuffer(got, dtype=f"<u{enc.width}").tolist() == [i for t in texts for i in [*enc.encoding.encode_ordinary(t), enc.end]]
+
+
 def test_cut_texts_give_the_ids_of_the_whole_pattern():
     from quernel.llm import tokens
 
