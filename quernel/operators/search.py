@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from . import nearest
 
 #: Query vectors are broadcast up to this many rows; beyond it the cross join is left to the optimizer.
 MAX_BROADCAST_QUERIES = 20_000
-#: Vectors in a block of ``knn``, and parts of the searched side that the query blocks are sent to.
-BLOCK, CELLS = 1024, 32
+#: Vectors in a block of ``knn``. Either side is cut into parts of about ``LEAST`` vectors, but ``PARTS`` of them are enough until they have ``MOST`` each.
+BLOCK, PARTS, LEAST, MOST = 1024, 8, 12_288, 131_072
 
 
 def prepare(vectors: DataFrame, column: str = "embedding", normalise: bool = True) -> DataFrame:
@@ -52,84 +54,75 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "c
     return top_k(scores(queries, vectors, metric, **names), k, least, **which)
 
 
-def _average_ranks(v: np.ndarray) -> np.ndarray:
-    """Of each row's values, from 1; equal values share the mean of their ranks."""
-    out = np.empty(v.shape)
-    for i, x in enumerate(v):
-        _, at, n = np.unique(x, return_inverse=True, return_counts=True)
-        out[i] = (np.cumsum(n) - (n - 1) / 2)[at]
-    return out
-
+def _blocks(vectors: DataFrame, key: str, column: str, metric: str, most: int | None = None) -> DataFrame:
+    """dim, at, ids, v: packed keys and vectors of up to ``BLOCK`` rows of one dimension, with a running number; null and empty vectors are left out.
 
-def _block_scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Similarities of all rows of ``q`` to all rows of ``v`` (V-01 ... V-08); other names are cosine (V-09)."""
-    if metric in ("pearson", "spearman"):
-        if metric == "spearman":
-            q, v = _average_ranks(q), _average_ranks(v)
-        q, v = q - q.mean(axis=1, keepdims=True), v - v.mean(axis=1, keepdims=True)
-    if metric in ("manhattan", "chebyshev"):
-        out = np.empty((len(q), len(v)))
-        for i, x in enumerate(q):
-            gap = np.abs(v - x)
-            out[i] = gap.sum(axis=1) if metric == "manhattan" else gap.max(axis=1, initial=0.0)
-        return 1 / (1 + out)
-    dots = q @ v.T
-    if metric in ("dot", "dot_product"):
-        return dots
-    if metric == "euclidean":
-        square = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None] - 2 * dots
-        for i, j in zip(*np.nonzero(square < 1e-6)):  # differences of nearly equal numbers
-            square[i, j] = ((q[i] - v[j]) ** 2).sum()
-        return 1 / (1 + np.sqrt(np.maximum(square, 0.0)))
-    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
-    cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-    return 1 - 2 * np.arccos(np.clip(cos, -1, 1)) / np.pi if metric == "angular" else cos
-
-
-def _blocks(vectors: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """Rows of packed keys and vectors, one for each Arrow batch and dimension; null and empty vectors are left out."""
+    ``most``: of equal vectors in a block, only so many of the lowest keys stay.
+    """
 
     def run(batches):
+        at = TaskContext.get().partitionId()
         for b in batches:
             sizes = b.column("v").value_lengths().fill_null(0).to_numpy()
             for dim in np.unique(sizes[sizes > 0]):
                 rows = b.take(pa.array(np.flatnonzero(sizes == dim)))
-                for at in range(0, rows.num_rows, BLOCK):
-                    part = rows.slice(at, BLOCK)
-                    values = part.column("v").flatten().fill_null(0.0).to_numpy().astype("<f8")
+                for start in range(0, rows.num_rows, BLOCK):
+                    part = rows.slice(start, BLOCK)
+                    values = nearest.prepared(metric, part.column("v").flatten().fill_null(0.0).to_numpy().astype("<f8").reshape(-1, dim))
                     ids = part.column("k").to_numpy().astype("<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", f"{name}_ids", f"{name}_v"])
+                    if most is not None:
+                        kept = nearest.lowest(ids, values, most)
+                        values, ids = values[kept], ids[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([at], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["dim", "at", "ids", "v"])
+                    at += 1
 
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), V.double(F.col(column)).alias("v"))
-    return rows.mapInArrow(run, f"dim int, {name}_ids binary, {name}_v binary")
+    return rows.mapInArrow(run, "dim int, at int, ids binary, v binary")
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // MOST), min(PARTS, -(-rows // LEAST)))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", least: float = 0.0, query: str = "query_id", key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """J-05, K-02 for query tables of any size: query, key, score, rank of the k best of each query, ties by key.
 
-    Both sides are packed into blocks of ``BLOCK`` rows. Blocks of the searched side fall into
-    ``CELLS`` cells, and every query block is sent to each, so as many tasks share
-    the work even if all vectors have one dimension; a pair of blocks is one matrix product and leaves k rows a query, so
-    what is shuffled to the final ranking is k rows for each query and block, never the pairs.
+    Both sides are packed into blocks and cut into parts, and each pair of parts is a cell: one task, which holds
+    its queries and their k best while the blocks of the other part pass by (``nearest.Nearest``). So each side is shuffled
+    once for each part of the other, and to the final ranking k rows for each query and part of the searched side.
     Scores are rounded to 9 digits before they are ranked.
     """
+    n_queries, n_vectors = _parts(queries.count()), _parts(vectors.count())
 
     def best(batches):
+        dim, asked, found = None, [], None
+
+        def out():
+            for i, j, s in found.found() if found else ():
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(s)], names=[query, key, "score"])
+
         for b in batches:
-            for dim, qi, qv, vi, vv in zip(*(b.column(c).to_pylist() for c in ("dim", "q_ids", "q_v", "v_ids", "v_v"))):
-                q, v = np.frombuffer(qv, "<f8").reshape(-1, dim), np.frombuffer(vv, "<f8").reshape(-1, dim)
-                qi, vi = np.frombuffer(qi, "<i8"), np.frombuffer(vi, "<i8")
-                order = np.argsort(vi, kind="stable")
-                s = np.round(_block_scores(metric, q, v[order]), 9)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, top, axis=1)
-                rows, at = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(vi[order][top[rows, at]]), pa.array(score[rows, at])], names=[query, key, "score"])
-
-    searched = _blocks(vectors, key, column, "v").withColumn("cell", F.pmod(F.xxhash64("v_ids"), F.lit(CELLS)).cast("int"))
-    asked = _blocks(queries, query, column, "q").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    pairs = searched.join(asked, ["dim", "cell"])
-    scored = pairs.select("dim", "q_ids", "q_v", "v_ids", "v_v").mapInArrow(best, f"{query} long, {key} long, score double")
+            for at in range(b.num_rows):
+                size, searched = b.column("dim")[at].as_py(), b.column("searched")[at].as_py()
+                ids = np.frombuffer(b.column("ids")[at].as_buffer(), "<i8").copy()
+                v = np.frombuffer(b.column("v")[at].as_buffer(), "<f8").reshape(-1, size).copy()
+                if size != dim:
+                    yield from out()
+                    dim, asked, found = size, [], None
+                if not searched:
+                    asked.append((ids, v))
+                    continue
+                if asked:
+                    found, asked = nearest.Nearest(metric, k, least, *(np.concatenate(x) for x in zip(*asked))), []
+                if found:
+                    found.feed(ids, v)
+        yield from out()
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _blocks(queries, query, column, metric).select("dim", F.lit(0).alias("searched"), "ids", "v", F.pmod("at", F.lit(n_queries)).alias("i"), each(n_vectors).alias("j"))
+    searched = _blocks(vectors, key, column, metric, k).select("dim", F.lit(1).alias("searched"), "ids", "v", each(n_queries).alias("i"), F.pmod("at", F.lit(n_vectors)).alias("j"))
+    cells = asked.unionByName(searched).repartitionById(n_queries * n_vectors, F.col("i") * n_vectors + F.col("j"))
+    scored = cells.sortWithinPartitions("dim", "searched").select("dim", "searched", "ids", "v").mapInArrow(best, f"{query} long, {key} long, score double")
     return top_k(scored, k, least, query, key)
 
 
