@@ -80,7 +80,7 @@ def corpus_stats(spark, sf_dir):
 
 @_query(f"""WITH {_TOKS} SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM toks) GROUP BY term ORDER BY df DESC, term LIMIT 25""")
 def term_doc_freq_top(spark, sf_dir):
-    return rank.postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(25)
+    return rank.document_counts(_docs(spark, sf_dir)).orderBy(F.col("df").desc(), "term").limit(25)
 
 
 @_query(f"""WITH {_TOKS}, p AS (SELECT doc_id, unnest(list_distinct(t)) AS term FROM toks), d AS (SELECT term, count(*) AS df FROM p GROUP BY term)

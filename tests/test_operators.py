@@ -85,6 +85,15 @@ def test_clustered_search_finds_most(spark):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_document_counts_shuffle_terms_not_postings(spark):
+    docs = spark.createDataFrame([(i, f"same words again, again w{i % 3}") for i in range(60)] + [(90, None), (91, ""), (92, "a b")], "doc_id long, text string").repartition(2)
+    found = rank.document_counts(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(term" in plan and "hashpartitioning(doc_id" not in plan
+    assert plan.count("regexp_replace") == 1
+    assert {r["term"]: r["df"] for r in found.collect()} == {"same": 60, "words": 60, "again": 60, "w0": 20, "w1": 20, "w2": 20}
+
+
 def test_ranking_pieces(spark):
     got = spark.createDataFrame([(["a", "b"], ["b", "c"])], "a array<string>, b array<string>").select(rank.jaccard(F.col("a"), F.col("b")), serving.overlap(F.col("a"), F.col("b"))).first()
     assert abs(got[0] - 1 / 3) < 1e-9 and got[1] == 0.5
