@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quernel.operators import nearest, search
+from quernel.operators import nearest, search, service
 
 
 def _unit(rng, n, dim=64):
@@ -98,3 +98,23 @@ def test_rows_to_the_final_ranking_do_not_grow_with_blocks(spark, monkeypatch):
     cells = sorted(map(tuple, search.knn(q, v, 3, "manhattan").collect()))
     assert one == cells and len(one) == 3600
     assert rows == [3600, 3 * 3600]
+
+
+def _left(monkeypatch):
+    """Numbers of the rows that each search sends to its final ranking."""
+    rows, best = [], search.top_k
+    monkeypatch.setattr(search, "top_k", lambda scored, *rest, **names: rows.append(scored.count()) or best(scored, *rest, **names))
+    return rows
+
+
+def test_service_searches_in_cells(spark, monkeypatch):
+    """Variants of a query fetch their 2 k best of each part of the vectors, and the parts don't change what is found."""
+    rng = np.random.default_rng(7)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(_unit(rng, 1200, 8))], "vec_id long, embedding array<double>")
+    q = v.withColumnRenamed("vec_id", "query_id").where("query_id < 300")
+    q = q.selectExpr("query_id", "embedding", "0 AS variant").union(q.selectExpr("query_id", "transform(embedding, x -> -x)", "1"))
+    rows = _left(monkeypatch)
+    one = sorted(map(tuple, service.retrieve(q, v, 3, 0.1).collect()))
+    monkeypatch.setattr(search, "LEAST", 400)
+    assert sorted(map(tuple, service.retrieve(q, v, 3, 0.1).collect())) == one
+    assert rows == [600 * 6, 3 * 600 * 6]
